@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import read
 
 #: Labelled documents that the model is fitted on: of each class at most so many, first by a hash of doc_id.
-SAMPLE = 4_000
-#: Words with weights of their own at most, and occurrences of a document that are learned from.
-WORDS, LEARNED = 1_000, 256
+SAMPLE = 3_000
+#: Features of tokens: the whole word, and beginnings of so many letters.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Features that are weighed before some are chosen, and known tokens of a document that are learned from.
+CANDIDATES, LEARNED = 1_500, 64
 THRESHOLD = 0.3
 #: Tokens of spans have at least this marginal.
 SPAN = 0.5
@@ -42,25 +45,45 @@ def pieces(text: str) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
-def active(text: str, index: dict[str, int]) -> tuple[int, list[int], list[int]]:
-    """Number of tokens, and the positions and word numbers of those in index. Tokens are runs of letters, lower-cased."""
-    n, positions, numbers = 0, [], []
+def features(token: str) -> list[str]:
+    """=word and ^beginning."""
+    return ["=" + token, *("^" + token[:k] for k in BEGINNINGS if len(token) > k)]
+
+
+class Known(dict):
+    """What a token means, by a function of its known features; None without any. Remembers tokens."""
+
+    def __init__(self, index: dict[str, int], value):
+        super().__init__()
+        self.index, self.value = index, value
+
+    def __missing__(self, token: str):
+        if len(self) > 500_000:
+            self.clear()
+        found = [self.index[f] for f in features(token) if f in self.index]
+        self[token] = out = self.value(found) if found else None
+        return out
+
+
+def active(text: str, known: Known) -> tuple[int, list[int], list]:
+    """Number of tokens, and the positions and meanings of those that are known. Tokens are runs of letters, lower-cased."""
+    n, positions, values = 0, [], []
     for _, piece in pieces(text):
         tokens = _TOKEN.findall(piece.lower())
-        for i, token in enumerate(tokens):
-            if token in index:
-                positions.append(n + i)
-                numbers.append(index[token])
+        for i, value in enumerate(map(known.__getitem__, tokens), n):
+            if value is not None:
+                positions.append(i)
+                values.append(value)
         n += len(tokens)
-    return n, positions, numbers
+    return n, positions, values
 
 
 @dataclass
 class Chain:
-    """Two tags, clean and toxic. move[a][b] scores tag b after a, bias a toxic tag of any token, weights those of known words.
+    """Two tags, clean and toxic. move[a][b] scores tag b after a, bias a toxic tag of any token, weights one of a known feature.
 
-    Tokens of no known word share one matrix, so k of them in a row are its k-th power, in closed form by its two
-    eigenvalues: inference visits known words alone and is exact for the whole chain.
+    Tokens without known features share one matrix, so k of them in a row are its k-th power, in closed form by its two
+    eigenvalues: inference visits known tokens alone and is exact for the whole chain.
     """
 
     weights: np.ndarray
@@ -79,23 +102,23 @@ class Chain:
         self.p2 = np.eye(2) - self.p1
 
     def gaps(self, k: np.ndarray) -> np.ndarray:
-        """The matrices of k tokens of no known word, over top ** k."""
+        """The matrices of k tokens that are not known, over top ** k."""
         return self.p1 + (self.ratio ** k)[..., None, None] * self.p2
 
-    def marginals(self, n: int, positions, numbers) -> np.ndarray:
-        """Probability of the toxic tag at each known word."""
+    def marginals(self, n: int, positions, scores) -> np.ndarray:
+        """Probability of the toxic tag at each known token; scores are the sums of their features' weights."""
         k = np.diff(np.concatenate([[-1], positions, [n]])) - 1
         gap = self.gaps(np.asarray(k, dtype=np.float64))
-        emit = np.stack([np.ones(len(numbers)), np.exp(self.bias + self.weights[numbers])], axis=1)
-        front = np.zeros((len(numbers), 2))
+        emit = np.stack([np.ones(len(scores)), np.exp(self.bias + np.asarray(scores))], axis=1)
+        front = np.zeros((len(scores), 2))
         v = np.array([1.0, 0.0])  # a chain begins as if after a clean token
-        for t in range(len(numbers)):
+        for t in range(len(scores)):
             v = ((v @ gap[t]) @ self.step) * emit[t]
             v = v / v.sum()
             front[t] = v
-        out = np.zeros(len(numbers))
+        out = np.zeros(len(scores))
         back = gap[-1] @ np.ones(2)
-        for t in range(len(numbers) - 1, -1, -1):
+        for t in range(len(scores) - 1, -1, -1):
             both = front[t] * back
             out[t] = both[1] / both.sum()
             back = gap[t] @ (self.step @ (emit[t] * back))
@@ -106,7 +129,12 @@ class Chain:
 class Batch:
     """Training documents padded to one length: log-likelihood and expectations of all at once."""
 
-    def __init__(self, docs: list[tuple[int, list[int], list[int], int]]):
+    def __init__(self, docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], features: int):
+        kinds: dict[tuple[int, ...], int] = {}
+        docs = [(n, p, [kinds.setdefault(v, len(kinds)) for v in values], y) for n, p, values, y in docs]
+        self.of = np.zeros((max(1, len(kinds)), features))
+        for kind, i in kinds.items():
+            self.of[i, list(kind)] = 1.0
         self.width = max((len(d[1]) for d in docs), default=0)
         self.gap = np.zeros((len(docs), self.width + 1))
         self.word = np.zeros((len(docs), self.width), dtype=np.int64)
@@ -127,7 +155,7 @@ class Batch:
 
     def forward(self, chain: Chain) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         gap = chain.gaps(self.gap)
-        emit = np.stack([np.ones(self.word.shape), np.exp(chain.bias + chain.weights[self.word])], axis=2)
+        emit = np.stack([np.ones(self.word.shape), np.exp(chain.bias + (self.of @ chain.weights)[self.word])], axis=2)
         v = np.tile([1.0, 0.0], (len(self.n), 1))
         log = (self.n - self.real.sum(axis=1)) * np.log(chain.top)
         front = np.zeros((*self.word.shape, 2))
@@ -141,11 +169,11 @@ class Batch:
         last = np.take_along_axis(gap, self.real.sum(axis=1)[:, None, None, None], axis=1)[:, 0]
         log += np.log(np.einsum("da,dab->d", v, last))
         m = self.tagged.sum()
-        score = chain.weights[self.word][self.tagged].sum() + chain.bias * m + self.moves @ np.array([chain.move[0, 1], chain.move[1, 0], chain.move[1, 1]])
+        score = (self.of @ chain.weights)[self.word][self.tagged].sum() + chain.bias * m + self.moves @ np.array([chain.move[0, 1], chain.move[1, 0], chain.move[1, 1]])
         return float(score - log.sum()), gap, emit, front
 
     def expected(self, chain: Chain, gap, emit, front) -> np.ndarray:
-        """Toxic marginals of the known words."""
+        """Toxic marginals of the known tokens."""
         out = np.zeros(self.word.shape)
         back = np.einsum("dab->da", np.take_along_axis(gap, self.real.sum(axis=1)[:, None, None, None], axis=1)[:, 0])
         for t in range(self.width - 1, -1, -1):
@@ -156,23 +184,24 @@ class Batch:
         return np.where(self.real, out, 0.0)
 
 
-def train(docs: list[tuple[int, list[int], list[int], int]], words: int, rounds: int = 40, ridge: float = 0.02) -> Chain:
-    """Maximum penalised conditional likelihood by Adam. Known words of toxic documents are tagged toxic, all else clean."""
+def train(docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], features: int, rounds: int = 40, ridge: float = 0.05) -> Chain:
+    """Maximum penalised conditional likelihood by Adam. Known tokens of toxic documents are tagged toxic, all else clean."""
     some = [d for d in docs if d[1]]
     some += [d for d in docs if not d[1]][: max(200, len(some) // 2)]
-    batch = Batch([(n, p[:LEARNED], w[:LEARNED], y) for n, p, w, y in some])
-    x = np.concatenate([np.zeros(words), [-2.0, 1.0, -1.0, -4.0]])
-    chain = lambda x: Chain(x[:words], np.array([[0.0, x[-4]], [x[-3], x[-2]]]), x[-1])
+    batch = Batch([(n, p[:LEARNED], w[:LEARNED], y) for n, p, w, y in some], features)
+    x = np.concatenate([np.zeros(features), [-2.0, 1.0, -1.0, -4.0]])
+    chain = lambda x: Chain(x[:features], np.array([[0.0, x[-4]], [x[-3], x[-2]]]), x[-1])
     first, second = np.zeros_like(x), np.zeros_like(x)
     for r in range(1, rounds + 1):
         now = chain(x)
         value, gap, emit, front = batch.forward(now)
         grad = np.zeros_like(x)
-        np.add.at(grad, batch.word[batch.real], (batch.tagged - batch.expected(now, gap, emit, front))[batch.real])
+        by_kind = np.bincount(batch.word[batch.real], (batch.tagged - batch.expected(now, gap, emit, front))[batch.real], len(batch.of))
+        grad[:features] = by_kind @ batch.of
         for k in range(4):  # of the few that all gaps depend on, by a difference
             moved = x.copy()
-            moved[words + k] += 1e-4
-            grad[words + k] = (batch.forward(chain(moved))[0] - value) / 1e-4
+            moved[features + k] += 1e-4
+            grad[features + k] = (batch.forward(chain(moved))[0] - value) / 1e-4
         grad = grad / len(some) - ridge / len(some) * x
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         x = x + 0.4 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
@@ -206,9 +235,19 @@ class Model:
     chain: Chain | None
     weights: np.ndarray
 
+    def __post_init__(self):
+        self.known = Known(self.index, lambda found: float(self.chain.weights[found].sum()))
+
+    def __getstate__(self):
+        return self.index, self.chain, self.weights
+
+    def __setstate__(self, state):
+        self.index, self.chain, self.weights = state
+        self.__post_init__()
+
     def marginals(self, text: str) -> tuple[int, list[int], np.ndarray]:
-        n, positions, numbers = active(text, self.index)
-        return n, positions, self.chain.marginals(n, positions, numbers) if positions else np.zeros(0)
+        n, positions, scores = active(text, self.known)
+        return n, positions, self.chain.marginals(n, positions, scores) if positions else np.zeros(0)
 
     def score(self, text: str | None) -> float:
         n, _, marginals = self.marginals(text or "")
@@ -232,27 +271,25 @@ class Model:
         return out
 
 
-def choose(docs: list[set[str]], toxic: list[bool], counted: dict[str, tuple[int, int]]) -> list[str]:
-    """The words to know: typical of toxic documents, and needed to explain them.
+def choose(docs: list[set[str]], toxic: list[bool]) -> list[str]:
+    """The features to know, of those given for each document: those needed to explain the toxic ones.
 
-    A word explains a document that holds it; each toxic document is to be explained twice. The word that explains most goes
-    first, and words that add few don't go: so words that only ride along in copies of a toxic text stay unknown.
+    A feature explains a document that has it; each toxic document is to be explained twice. The feature that explains most
+    goes first, and those that add few don't go: so what only rides along in copies of a toxic text stays unknown.
     """
-    bad, good = sum(toxic), len(toxic) - sum(toxic)
-    least = max(3, round(0.01 * bad))
-    precise = {w for w, (t, c) in counted.items() if t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (good + 1)}
     left = {i: 2 for i, y in enumerate(toxic) if y}
+    least = max(4, round(0.005 * len(left)))
     where: dict[str, set[int]] = {}
     for i in left:
-        for w in docs[i] & precise:
-            where.setdefault(w, set()).add(i)
+        for f in docs[i]:
+            where.setdefault(f, set()).add(i)
     out: list[str] = []
-    while where and len(out) < WORDS:
-        word = min(where, key=lambda w: (-sum(left[i] > 0 for i in where[w]), -len(where[w]), w))
-        holds = where.pop(word)
-        if sum(left[i] > 0 for i in holds) < max(4, least):
+    while where:
+        best = min(where, key=lambda f: (-sum(left[i] > 0 for i in where[f]), f[0] != "=", -len(f), f))
+        holds = where.pop(best)
+        if sum(left[i] > 0 for i in holds) < least:
             break
-        out.append(word)
+        out.append(best)
         for i in holds:
             left[i] -= 1
     return out
@@ -266,43 +303,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * sample rows of 12 bytes
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
 
-    def words_of(batches):
+    def counts(batches):
         for pdf in batches:
-            found = [(y, w) for y, t in zip(pdf["toxic"], pdf["text"]) for w in {w for _, p in pieces(t or "") for w in _TOKEN.findall(p.lower())}]
-            yield pd.DataFrame(found, columns=["toxic", "word"])
-
-    by_word = texts.mapInPandas(words_of, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    likely = by_word.filter("t >= 3 and t > 2 * c").orderBy(F.desc(F.col("t") - 2 * F.col("c")), "word").limit(4 * WORDS).toPandas()
-    counted = {w: (int(t), int(c)) for w, t, c in zip(likely["word"], likely["t"], likely["c"])}
-    index = {w: i for i, w in enumerate(counted)}
+            both: tuple[Counter, Counter] = Counter(), Counter()
+            size = [0, 0]
+            for y, t in zip(pdf["toxic"], pdf["text"]):
+                words = {w for _, p in pieces(t or "") for w in _TOKEN.findall(p.lower())}
+                both[y].update({f for w in words for f in features(w)})
+                size[y] += 1
+            names = list(both[0].keys() | both[1].keys())
+            yield pd.DataFrame({"feature": ["", *names], "c": [size[0], *(both[0][f] for f in names)], "t": [size[1], *(both[1][f] for f in names)]})
+
+    summed = texts.mapInPandas(counts, "feature string, c long, t long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    likely = summed.filter("t >= 3").filter((F.col("t") > 2 * F.col("c")) | (F.col("feature") == "")).orderBy(F.col("feature") != "", F.desc(F.col("t") - 2 * F.col("c")), "feature").limit(4 * CANDIDATES).toPandas()
+    sizes = likely[likely["feature"] == ""]
+    clean, bad = (int(sizes["c"].sum()), int(sizes["t"].sum()))
+    least = max(3, round(0.005 * bad))
+    precise = [f for f, c, t in zip(likely["feature"], likely["c"], likely["t"]) if f and t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (clean + 1)][:CANDIDATES]
+    index = {f: i for i, f in enumerate(precise)}
 
     def places(batches):
+        known = Known(index, list)
         for pdf in batches:
-            found = [active(t or "", index) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "n": [f[0] for f in found], "at": [f[1][: 4 * LEARNED] for f in found], "word": [f[2][: 4 * LEARNED] for f in found]})
+            found = [active(t or "", known) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "n": [f[0] for f in found], "at": [f[1][: 16 * LEARNED] for f in found], "has": [f[2][: 16 * LEARNED] for f in found]})
 
-    seen = texts.mapInPandas(places, "doc_id long, toxic int, n long, at array<long>, word array<int>").toPandas().sort_values("doc_id", kind="stable")
-    names = list(counted)
+    seen = texts.mapInPandas(places, "doc_id long, toxic int, n long, at array<long>, has array<array<int>>").toPandas().sort_values("doc_id", kind="stable")
     toxic = [bool(y) for y in seen["toxic"]]
     if not any(toxic) or all(toxic):
         prior = np.clip((sum(toxic) + 0.5) / (len(toxic) + 1), 0.01, 0.99) if toxic else 0.01
         return Model({}, None, np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0]))
-    known = choose([{names[w] for w in set(row)} for row in seen["word"]], toxic, counted)
-    new = {index[w]: i for i, w in enumerate(known)}
+    chosen_features = choose([{precise[f] for token in row for f in token} for row in seen["has"]], toxic)
+    number = {index[f]: i for i, f in enumerate(chosen_features)}
     chains = []
-    for n, at, word, y in zip(seen["n"], seen["at"], seen["word"], toxic):
-        kept = [(int(a), new[int(w)]) for a, w in zip(at, word) if int(w) in new]
+    for n, at, has, y in zip(seen["n"], seen["at"], seen["has"], toxic):
+        kept = [(int(a), v) for a, token in zip(at, has) if (v := tuple(number[int(f)] for f in token if int(f) in number))]
         chains.append((int(n), [k[0] for k in kept], [k[1] for k in kept], int(y)))
-    chain = train(chains, len(known)) if known else None
-    x = np.array([shape(n, chain.marginals(n, p, w) if p else np.zeros(0)) for n, p, w, _ in chains])
-    return Model({w: i for i, w in enumerate(known)}, chain, logistic(x, np.array(toxic, dtype=float)))
+    chain = train(chains, len(chosen_features)) if chosen_features else None
+    x = np.array([shape(n, chain.marginals(n, p, [chain.weights[list(v)].sum() for v in w]) if p else np.zeros(0)) for n, p, w, _ in chains])
+    return Model({f: i for i, f in enumerate(chosen_features)}, chain, logistic(x, np.array(toxic, dtype=float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and spans (start, end, marginal; in characters) added, each whole text in one pass.
 
-    Null and empty texts have no tokens and get the score of a text without known words, no spans. Other columns pass
-    through; own columns called score or spans are replaced. No shuffle; the model holds at most WORDS words.
+    Null and empty texts have no tokens and get the score of a text without known tokens, no spans. Other columns pass
+    through; own columns called score or spans are replaced. No shuffle; the model's size is bounded.
     """
     rest = docs.drop("score", "spans")
 
