@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_documents, queries_text
+
+QUERIES = {**queries_text.QUERIES, **queries_documents.QUERIES}
+ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_documents.ORACLES}
