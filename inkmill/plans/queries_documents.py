@@ -107,7 +107,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _markdown(spark, sf_dir).select("doc_id", F.explode(stages.chunk(F.col("markdown"), F.lit(None).cast("string"), F.lit("Guide"), Options(chunk_max_tokens=200, chunk_min_tokens=0))).alias("c"))
-    return docs.select("doc_id", "c.*").select(F.col("id"), jsonl_line().alias("line"))
+    return docs.select("c.*").select("id", jsonl_line().alias("line"))
 
 
 def chunk_sections_python(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,4 +212,8 @@ QUERIES = {
         kb_keywords, kb_manifest, kb_names_exact, conversations_markdown, capabilities,
     )
 }
-ORACLES = {"code_protect_roundtrip": CODE_PROTECT}
+ORACLES = {
+    "code_protect_roundtrip": CODE_PROTECT,
+    "pii_restore": "SELECT doc_id, 0 AS left_over FROM documents",
+    "render_safe": "SELECT page_id, 0 AS tags_left FROM pages",
+}
