@@ -153,7 +153,7 @@ def body_of(text: Column) -> Column:
 def title_of(text: Column, filename: Column) -> Column:
     """META-02 on prose."""
     head = F.regexp_extract(text, java("^#\\s+([^\\n\\r]+)$", "m"), 1)
-    first = F.element_at(F.filter(F.split(text, "\\r?\\n"), lambda x: trim(x) != ""), 1)
+    first = F.try_element_at(F.filter(F.split(text, "\\r?\\n"), lambda x: trim(x) != ""), F.lit(1))
     bare = F.regexp_replace(F.coalesce(first, F.lit("")), f"\\A[#*_{WS}]+|[#*_{WS}]+\\z", "")
     named = F.when(F.coalesce(filename, F.lit("")) == "", F.lit("Document")).otherwise(F.regexp_replace(filename, "\\.[^/.]+\\z", ""))
     return F.when(head != "", trim(head)).when(bare != "", bare).otherwise(named)
