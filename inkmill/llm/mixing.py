@@ -45,35 +45,41 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
     return out.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """Add size, source_size, target and copies (how often the mix takes the document) to documents.
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size, its words, and _key, what its draw is made from."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.drop("size", "_key").withColumn("size", word_count(F.col("text"))).withColumn("_key", key)
+
+
+def mix(sized: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """Add source_size, target and copies (how often the mix takes the document) to measured documents.
 
     copies = floor(rate) plus one with probability rate - floor(rate), drawn from a hash of doc_id (of the text where doc_id
     is null). Sizes are words; null and empty texts have none and a source of only such texts gets rate 0. Null sources are
-    one source, last in order. Rows with one doc_id share a draw, so repeated rows are taken equally often. Columns of docs
+    one source, last in order. Rows with one doc_id share a draw, so repeated rows are taken equally often. Other columns
     pass through unless they bear a name made here, which replaces it. Only per-source sums are shuffled: hot sources are
     aggregated in part before, and the join sends the rates to the documents.
     """
-    made = ("size", "source_size", "target", "rate", "copies")
-    sized = docs.drop(*made).withColumn("size", word_count(F.col("text")))
+    sized = sized.drop("source_size", "target", "rate", "copies", "_source")
     rates = cut(source_rates(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source"))
     rates = F.broadcast(rates) if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else rates
     joined = sized.join(rates, sized["source"].eqNullSafe(rates["_source"]), "left").drop("_source")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
-    more = (draw(key, seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate").cast("long") + more).drop("rate")
+    more = (draw(F.col("_key"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.floor("rate").cast("long") + more).drop("rate", "_key")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
     columns = docs.columns
-    taken = mix(docs, **options).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    own = {c: f"_own_{c}" for c in columns if c in ("size", "source_size", "target", "rate", "copies", "_key", "_source")}
+    taken = mix(measured(docs.withColumnsRenamed(own)), **options).filter("copies > 0")
+    out = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("size", "source_size", "target", "copies", "_copy")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = cut(measured(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "_key"))  # the texts are read once
+    return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = r"""
