@@ -16,6 +16,10 @@ SITES = 5
 LG_K = 12
 #: Estimates within so much of the threshold, relatively and absolutely, get an exact count.
 BAND, SLACK = 0.1, 1.0
+#: Up to so many hashes of lines (under 50 bytes each) are broadcast to the lines; beyond it the lines are shuffled to them.
+BROADCAST_LINES = 100_000
+#: Columns that are made on the way.
+MADE = ("n_lines", "n_removed", "_text", "_k1", "_k2", "_drop")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,6 +43,11 @@ def without(text: pd.Series, drop: pd.Series) -> pd.Series:
     return pd.Series(out, index=text.index, dtype=object)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; it is read twice, so it should be a checkpoint."""
+    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
+
+
 def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
     """(line, holder1, holder2) of the lines on at least `sites` distinct sites; the holder is the first document with it.
 
@@ -50,14 +59,15 @@ def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
     low, high = sites * (1 - BAND) - SLACK, sites * (1 + BAND) + SLACK
     judged = cut(sketched.filter((F.col("_n") >= sites) & (F.col("near") >= low)))
     doubtful = judged.filter(F.col("near") <= high)
-    exact = lines.select("line", "site").join(doubtful.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("_sites"))
+    exact = lines.select("line", "site").join(_few(doubtful.select("line")), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("_sites"))
     sure = judged.filter(F.col("near") > high).select("line", "holder")
     near = doubtful.join(exact.filter(F.col("_sites") >= sites), "line").select("line", "holder")
     return sure.unionByName(near).select("line", F.col("holder.k1").alias("holder1"), F.col("holder.k2").alias("holder2"))
 
 
 def strip_shared_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """docs with cross-site boilerplate lines removed from text, and the columns n_lines and n_removed added.
+    """docs with cross-site boilerplate lines removed from text, and the columns n_lines and n_removed added
+    (they and the other names in MADE replace columns of docs).
 
     Lines are \\n-separated and equal when they are so without white space at their ends; blank ones never go. A site is a
     source; null counts as the site ''. A line on `sites` sites or more stays in its first document (smallest doc_id, nulls
@@ -66,9 +76,9 @@ def strip_shared_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
     of one doc_id and text are one document. Hot lines join as skewed joins do; only positions of removed lines travel with
     the text, once.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*MADE)
     lines = _lines(docs)
-    shared = boilerplate(lines, sites, lg_k)
+    shared = _few(cut(boilerplate(lines, sites, lg_k)))
     gone = lines.join(shared, "line").filter(~(F.col("k1").eqNullSafe(F.col("holder1")) & (F.col("k2") == F.col("holder2"))))
     drop = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("_drop")).withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2")
     keyed = docs.withColumn("_text", F.xxhash64("text"))
