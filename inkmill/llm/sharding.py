@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from .common import cut, number_in, read
 
 SHARDS = 24
-#: Groups that one task differences at a time.
+#: Groups that one task differences at a time; also the share of all bytes, one in so many, from which a group is large.
 PER_BUCKET = 20_000
-#: Partial partitions that one task combines at a time on the levels above.
-FAN_IN = 1_000
 
 
 def difference(parts: list[list[int]]) -> tuple[list[int], list[list[int]]]:
@@ -60,33 +58,48 @@ def difference(parts: list[list[int]]) -> tuple[list[int], list[list[int]]]:
     return total, out
 
 
-def _bucket(ways: int):
+def _large(ways: int):
+    """The large groups in one task; sums is what each way holds, on the first row."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k1", "k2"], kind="stable")
         sums, ends = difference([[int(b)] + [0] * (ways - 1) for b in pdf["bytes"]])
-        return pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "part": pdf["bucket"], "way": [e[0] for e in ends], "sums": [sums if i == 0 else None for i in range(len(pdf))]})
+        return pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "shard": [e[0] for e in ends], "sums": [sums if i == 0 else None for i in range(len(pdf))]})
 
     return run
 
 
-def _level(ways: int):
+def _bucket(held: list[int], total: int):
+    """A bucket of other groups. Its share of what the large ones hold is one more partial partition, whose ways name the shards.
+
+    Shards that hold as much of the large groups are alike: even and odd buckets order their ways oppositely among them.
+    """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part", kind="stable")
-        sums, ends = difference([[int(x) for x in part] for part in pdf["sums"]])
-        return pd.DataFrame({"part": pdf["part"], "up": pdf["up"], "ends": ends, "sums": [sums if i == 0 else None for i in range(len(pdf))]})
+        pdf = pdf.sort_values(["k1", "k2"], kind="stable")
+        sizes = [int(b) for b in pdf["bytes"]]
+        mine, ways = sum(sizes), len(held)
+        sums, ends = difference([[h * mine // max(1, total) for h in held], *([b] + [0] * (ways - 1) for b in sizes)])
+        shard_of = {}
+        for value in set(held):
+            alike = [j for j in range(ways) if held[j] == value]
+            met = sorted((ends[0][j] for j in alike), key=lambda w: (sums[w], w), reverse=int(pdf["bucket"].iloc[0]) % 2 == 0)
+            shard_of |= dict(zip(met, alike))
+        return pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "shard": [shard_of[e[0]] for e in ends[1:]]})
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET, fan_in: int = FAN_IN) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot): documents with equal texts stay together, the shards' bytes near equal.
 
     size is the UTF-8 bytes plus 8. Equal texts are one indivisible group, found by 128 bits of hash; a group's size is summed
-    in part before the shuffle, so a group of a third of all rows is one row here. Tasks difference hash buckets of groups,
-    each bucket's result is a partial partition of `shards` sums, and levels of at most `fan_in` of them are differenced the
-    same way until one is left: no task and not the driver ever holds all groups. A group larger than a shard's share keeps
-    one shard for itself; the others stay even. A null text counts as an empty one (no bytes); both have crc 0. Null doc_ids
-    and repeated rows are numbered as any other row. No rows give no rows. Extra columns are ignored.
+    in part before the shuffle, so a group of a third of all rows is one row here. Groups over one in per_bucket of all bytes,
+    of which there are fewer than per_bucket, are differenced in one task. The others are dealt to hash buckets of about
+    per_bucket groups; each bucket's task differences them together with its share of what the large groups hold, so it
+    makes up for them. No task and not the driver ever holds all groups. A group larger than a shard's share keeps one shard
+    for itself; the others stay even. A null text counts as an empty one (no bytes); both have crc 0. Null doc_ids and
+    repeated rows are numbered as any other row. No rows give no rows. Extra columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = cut(
@@ -99,23 +112,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET, f
         )
     )
     rows = narrow.count()
+    groups = cut(narrow.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    is_large = F.col("bytes") * per_bucket > total
+    large = cut(groups.filter(is_large).withColumn("task", F.lit(0)).groupBy("task").applyInPandas(_large(shards), "k1 long, k2 long, shard int, sums array<long>"))
+    found = large.filter("sums is not null").select("sums").first()
+    held = [int(x) for x in found["sums"]] if found else [0] * shards
     buckets = max(1, -(-rows // per_bucket))
-    groups = narrow.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")).withColumn("bucket", F.pmod("k2", F.lit(buckets)))
-    placed = cut(groups.groupBy("bucket").applyInPandas(_bucket(shards), "k1 long, k2 long, part long, way int, sums array<long>"))
-    parts = placed.filter("sums is not null").select("part", "sums")
-    path = parts.select("part", F.col("part").alias("at"), F.sequence(F.lit(0), F.lit(shards - 1)).alias("ends"))
-    n, level = buckets, parts
-    while True:
-        fold = level.withColumn("up", F.floor(F.col("part") / F.lit(fan_in)).cast("long"))
-        done = cut(fold.groupBy("up").applyInPandas(_level(shards), "part long, up long, ends array<int>, sums array<long>"))
-        step = done.select(F.col("part").alias("at"), F.col("up"), F.col("ends").alias("over"))
-        path = path.join(step, "at").select("part", F.col("up").alias("at"), F.transform("ends", lambda e: F.element_at("over", e + 1)).alias("ends"))
-        n = -(-n // fan_in)
-        if n <= 1:
-            break
-        level = done.filter("sums is not null").select(F.col("up").alias("part"), "sums")
-    final = placed.select("k1", "k2", "part", "way").join(path.select("part", "ends"), "part")
-    final = final.select("k1", "k2", F.element_at("ends", F.col("way") + 1).cast("int").alias("shard"))
+    dealt = groups.filter(~is_large).withColumn("bucket", F.pmod("k2", F.lit(buckets)))
+    others = dealt.groupBy("bucket").applyInPandas(_bucket(held, total - sum(held)), "k1 long, k2 long, shard int")
+    final = cut(others.unionByName(large.select("k1", "k2", "shard")))
     out = narrow.join(final, ["k1", "k2"]).select("doc_id", "size", "text_crc32", "shard")
     return number_in(out, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], rows)
 
