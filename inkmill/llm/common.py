@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +40,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def guarded(docs: DataFrame, names: tuple[str, ...], function: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """function(docs) with the columns of docs, those of docs that are called as its own columns are put aside meanwhile."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in names}
+    out = function(docs.withColumnsRenamed(own))
+    return out.drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null has none. Native, and without an array of words: their last characters are counted."""
     last = r"[^\x20\x09-\x0D](?![^\x20\x09-\x0D])"

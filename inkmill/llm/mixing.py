@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, word_count
+from .common import cut, guarded, read, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -70,11 +70,9 @@ def mix(sized: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix")
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    columns = docs.columns
-    own = {c: f"_own_{c}" for c in columns if c in ("size", "source_size", "target", "rate", "copies", "_key", "_source")}
-    taken = mix(measured(docs.withColumnsRenamed(own)), **options).filter("copies > 0")
-    out = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("size", "source_size", "target", "copies", "_copy")
-    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
+    made = ("size", "source_size", "target", "rate", "copies", "_key", "_source", "_copy")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return guarded(docs, made, lambda d: mix(measured(d), **options).filter("copies > 0").withColumn("_copy", copies))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
