@@ -13,21 +13,24 @@ from inkmill.llm import common, lines, mixing, ngrams, packing, toxicity
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; null and empty texts stay."""
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return common.guarded(docs, ("score", "spans"), lambda d: toxicity.score(d, model).filter(F.col("score") < toxicity.THRESHOLD))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without lines that many sites share; n_chars follows the text."""
-    out = lines.strip_shared_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def strip(d: DataFrame) -> DataFrame:
+        out = lines.strip_shared_lines(d)
+        changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        return out.withColumn("n_chars", changed) if "n_chars" in d.columns else out
+
+    return common.guarded(docs, lines.MADE, strip)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of it are one."""
     gone = ngrams.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
