@@ -47,7 +47,8 @@ def test_stages(spark, tmp_path):
     assert set(kept) == {*range(120), None, 700, 701} and not any(500 <= i < 600 for i in kept if i)
     mixed = Counter(r.doc_id for r in out["mixing"].collect())
     want = Counter({r.doc_id: 0 for r in out["near_duplicates"].collect()})
-    for r in mixing.mix(mixing.measured(out["near_duplicates"])).collect():
+    keyed = mixing.measured(out["near_duplicates"])
+    for r in mixing.mix(keyed, mixing.plan(keyed)).collect():
         want[r.doc_id] += r.copies
     assert +want == mixed
     packed = out["packing"].toPandas()
