@@ -79,9 +79,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source_slots: int = SOURCE_S
     key = [F.col("doc_id"), F.col("cluster"), F.col("piece")]
     slot = F.xxhash64("source", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(source_slots)))
     tasks = max(1, -(-docs.count() // per_task))
-    dealt = cut_up.select("doc_id", "piece", size.alias("size"), "cluster", slot.alias("source_slot"), F.pmod(F.xxhash64(F.lit(2), *key), F.lit(tasks)).cast("int").alias("task"))
+    dealt = cut_up.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", size.alias("size"), "cluster", slot.alias("source_slot"), F.pmod(F.xxhash64(F.lit(2), *key), F.lit(tasks)).cast("int").alias("task"))
     kind = dict(docs.dtypes)["doc_id"]
-    return dealt.groupBy("task").applyInPandas(_task(capacity), f"doc_id {kind}, piece long, size long, bin long, start long")
+    packed = dealt.groupBy("task").applyInPandas(_task(capacity), "doc_id string, piece long, size long, bin long, start long")  # as text, ids beside nulls stay exact
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
