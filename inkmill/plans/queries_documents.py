@@ -11,7 +11,7 @@ from ..options import Options
 from ..sources.readers import documents as texts
 from ..sources.writers import jsonl_line
 from . import kb
-from .queries_text import _named, _with_headings, documents, table
+from .queries_text import SECTIONS, WS, _named, _with_headings, documents, estimated, table, trimmed
 
 #: Texts with every kind of entity, one of them in front of each document.
 SECRETS = (
@@ -44,7 +44,7 @@ def token_count_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = documents(spark, sf_dir).select("doc_id", "text", stages.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n_ids"), (stages.decode(F.col("ids")) == F.col("text")).alias("same"))
+    return ids.select("doc_id", (stages.decode(F.col("ids")) == F.col("text")).alias("same"))
 
 
 def url_tracking_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,26 @@ def pii_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.regexp_count(back, F.lit(r"\[[A-Z_]+_[0-9]+\]")).alias("left_over"))
 
 
+URL_CLEAN = """
+SELECT page_id, '[page](' || replace(replace(url, '&ref=x', ''), '?utm_source=feed', '') || ') [' || url || '](' || upper(url) || ')' AS markdown FROM pages
+"""
+TEXT_SQL = rf"""
+SELECT doc_id, CASE doc_id % 4
+  WHEN 0 THEN '```json' || chr(10) || '{{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "lang": ' || CAST(to_json(lang) AS VARCHAR) || ',' || chr(10) || '  "t": ' || CAST(to_json(substr(text, 1, 40)) AS VARCHAR) || chr(10) || '}}' || chr(10) || '```'
+  WHEN 1 THEN '```python' || chr(10) || regexp_replace(text, '[{WS}]+$', '') || chr(10) || '```'
+  WHEN 2 THEN 'café' || chr(10) || ' ' || lang
+  ELSE {trimmed("text")} END AS markdown
+FROM documents
+"""
+OCR_SQL = rf"""
+WITH l AS (SELECT doc_id, list_transform(string_split('RAPPORT ANNUEL' || repeat(chr(10), 3) || '• point' || chr(10) || text, chr(10)), lambda x: {trimmed("x")}) AS l FROM documents),
+m AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE
+    WHEN regexp_matches(x, '^[A-Z0-9À-Ý_:{WS}-]{{3,50}}$') AND regexp_matches(x, '[A-ZÀ-Ý]{{3}}') THEN chr(10) || '## ' || x || chr(10)
+    WHEN regexp_matches(x, '^[•●▪◦‣*-][{WS}]+.') THEN '- ' || regexp_replace(x, '^.[{WS}]+', '') ELSE x END), chr(10)) AS m FROM l)
+SELECT doc_id, md5({trimmed("regexp_replace('> 📷 *Texte extrait par OCR (Confiance: ' || doc_id % 100 || '%)*' || chr(10) || chr(10) || m, '\n{3,}', chr(10) || chr(10), 'g')")}) AS markdown_md5 FROM m
+"""
+
+
 def chunk_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = stages.optimize(F.col("markdown"), F.lit("d.md"))
     docs = _markdown(spark, sf_dir).select("doc_id", body.alias("o")).select("doc_id", "o.body", "o.meta.title")
@@ -111,9 +131,18 @@ def chunk_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_sections_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-03 by the document stage: the same sections as the relational query gives."""
+    """CHK-03 by the document stage: the same sections as the relational query and its SQL give."""
+    found = _markdown(spark, sf_dir).select("doc_id", F.posexplode(stages.sections(F.col("markdown"), F.lit("Guide"))).alias("at", "s"))
+    return found.select("doc_id", F.col("at").cast("long").alias("number"), "s.title")
+
+
+SECTIONS_IN_ORDER = f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS BIGINT) AS number, title FROM ({SECTIONS})"
+
+
+def chunk_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-03, CHK-07: sections with their trails."""
     found = _markdown(spark, sf_dir).select("doc_id", F.posexplode(stages.sections(F.col("markdown"), F.lit("Guide"))).alias("at", "s"))
-    return found.select("doc_id", F.col("at").cast("long").alias("number"), "s.title", F.array_join("s.breadcrumbs", " > ").alias("breadcrumbs"), "s.tokens")
+    return found.select("doc_id", F.col("at").cast("long").alias("number"), F.array_join("s.breadcrumbs", " > ").alias("breadcrumbs"), "s.tokens")
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +228,19 @@ def conversations_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("conv_id", F.size(stages.chunk(F.col("markdown"), F.lit(None).cast("string"), F.lit("Conversation"))).alias("chunks"), native.estimate_tokens(F.col("markdown")).alias("tokens"))
 
 
+def conversations_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: the text and its estimated tokens."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n\n"), t["text"])), "\n\n")
+    return turns.select("conv_id", F.md5(whole).alias("markdown_md5"), native.estimate_tokens(whole).alias("tokens"))
+
+
+CONVERSATIONS = f"""
+WITH t AS (SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5(t) AS markdown_md5, {estimated("t")} AS tokens FROM t
+"""
+
+
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.capabilities(spark).select("formats", "levels", "modes", "table_formats", "encoding", F.size("pricing").alias("n_prices"))
 
@@ -209,11 +251,17 @@ QUERIES = {
         token_count_bpe, token_roundtrip, url_tracking_clean, optimize_levels, frontmatter_generate, code_protect_roundtrip, pii_entities_by_type,
         pii_pseudonymize, pii_redact, pii_restore, chunk_rag, chunk_stats, chunk_jsonl, chunk_sections_python, html_to_markdown, text_to_markdown,
         pdf_text_structure, ocr_text_structure, convert_batch, markdown_analysis, render_safe, kb_totals, kb_llms_txt, kb_llms_full, kb_llms_small,
-        kb_keywords, kb_manifest, kb_names_exact, conversations_markdown, capabilities,
+        kb_keywords, kb_manifest, kb_names_exact, conversations_markdown, conversations_document, capabilities, chunk_breadcrumbs,
     )
 }
 ORACLES = {
     "code_protect_roundtrip": CODE_PROTECT,
+    "token_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "chunk_sections_python": SECTIONS_IN_ORDER,
+    "url_tracking_clean": URL_CLEAN,
+    "text_to_markdown": TEXT_SQL,
+    "ocr_text_structure": OCR_SQL,
+    "conversations_document": CONVERSATIONS,
     "pii_restore": "SELECT doc_id, 0 AS left_over FROM documents",
     "render_safe": "SELECT page_id, 0 AS tags_left FROM pages",
 }

@@ -12,7 +12,7 @@ from inkmill import sql
 from inkmill.functions import markdown, native, pii, plain, tokens
 from inkmill.operators import sheets, stages
 from inkmill.options import Options
-from inkmill.plans import kb, registry
+from inkmill.plans import api, kb, registry
 from inkmill.sources import readers, writers
 from inkmill.streaming import ingest
 
@@ -106,6 +106,24 @@ def test_files_are_converted_one_by_one(spark, tmp_path):
     assert economy.original_tokens > 0
 
 
+def test_requests(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\n\nMail a@b.fr  \n\n\n\nfin")
+    (tmp_path / "b.doc").write_text("x")
+    done = {r.original_filename: r for r in api.convert(readers.read_files(spark, str(tmp_path)), {"anonymize": "true", "level": "ultra_compact"}).collect()}
+    assert done["a.md"].success and "[EMAIL_1]" in done["a.md"].markdown and done["a.md"].stats.tokens > 0 and len(done["a.md"].chunks) == 1
+    assert not done["b.doc"].success and done["b.doc"].markdown is None
+    texts = spark.createDataFrame([(1, None, "# T\n\nx  "), (2, "n.md", None)], "ord long, filename string, markdown string")
+    once = api.optimize_text(texts, {"injectFrontmatter": True}).first()
+    again = api.optimize_text(spark.createDataFrame([(1, "document.md", once.markdown)], texts.schema), {"injectFrontmatter": True}).first()
+    assert again.markdown == once.markdown and again.savings.tokens_saved == 0 and again.chunks[0].id == once.chunks[0].id
+    assert api.analyze_markdown(texts.filter("ord = 1")).first().stats.headers == 1
+    results = api.convert(readers.read_files(spark, str(tmp_path)))
+    assert api.batch_economy(results).first().original_tokens > 0 and len(zipfile.ZipFile(io.BytesIO(api.download_zip(results))).namelist()) == 1
+    assert api.preview(results).count() == 2 and api.status(spark).count() == 1
+    assert api.export_jsonl(kb.chunks_of(results.filter("success"))).count() == 1 and api.knowledge_base(texts).total_tokens > 0
+    assert api.estimated(texts).filter("ord = 1").first().tokens == 3
+
+
 def test_sheets_of_rows(spark):
     rows = spark.createDataFrame([(1, ["a|b", "x\ny"]), (2, [" ", ""]), (3, ["c"])], "row_no long, cells array<string>")
     assert [r.line for r in sheets.sheet_rows(rows, ["k", ""]).orderBy("row_no").collect()] == ["|k|Col_2|", "|---|---|", "|a\\|b|x y|", "|c||"]
