@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -180,11 +182,11 @@ def totals(processed: DataFrame) -> DataFrame:
 def build(docs: DataFrame, options: Options = Options()) -> KnowledgeBase:
     """KB-13: the knowledge base of documents (ord, filename, markdown); frontmatter and chunks always.
 
-    The processed documents are checkpointed once, since all index files read them. total_tokens is the sum over the blocks
+    The processed documents are written once, since all index files read them. total_tokens is the sum over the blocks
     of llms-full.txt with their heads, each counted by itself: a text that has to be one cell doesn't grow with the corpus.
     """
     options = Options(**{**options.__dict__, "inject_frontmatter": True, "include_chunks": True})
-    processed = reliable(distinct_names(process(docs, options)))
+    processed = reliable(distinct_names(process(docs, options)).drop("raw"))
     full = ranked(full_blocks(processed))
     heading = f"# {options.title}\n\n> {options.summary}\n\n---\n"
     total = full.agg(F.sum(stages.count_tokens(F.col("line"))).alias("n")).first()["n"] or 0
@@ -240,13 +242,16 @@ def ranked(blocks: DataFrame) -> DataFrame:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares; where none is named (tests), a temporary one."""
+    """df written as Parquet to the folder that the cluster shares (spark.checkpoint.dir; a temporary one in tests) and read again.
+
+    Unlike a checkpoint it is compressed, and a reader of a few columns reads those alone. The caller's cluster clears the folder.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkmill-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/kb-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
