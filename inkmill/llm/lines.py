@@ -24,10 +24,10 @@ MADE = ("n_lines", "n_removed", "_text", "_k1", "_k2", "_drop")
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, at, line, site) for every line that isn't blank. k1 and k2 name the document, line is its hash."""
-    split = F.split(F.col("text"), "\n")
-    exploded = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.col("source").alias("site"), F.posexplode(split).alias("at", "_line"))
-    bare = F.trim(F.translate("_line", "\t\x0b\x0c\r", "    "))
-    return exploded.withColumn("_bare", bare).filter("_bare <> ''").select("k1", "k2", "at", F.xxhash64("_bare").alias("line"), F.coalesce("site", F.lit("")).alias("site"))
+    cut_up = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.coalesce("source", F.lit("")).alias("site"), F.split("text", "\n").alias("_lines"))
+    exploded = cut_up.select("k1", "k2", "site", F.posexplode("_lines").alias("at", "_line"))  # the text itself isn't copied to its lines
+    bare = exploded.withColumn("_bare", F.trim("_line", F.lit(" \t\x0b\x0c\r"))).filter("_bare <> ''")
+    return bare.select("k1", "k2", "at", F.xxhash64("_bare").alias("line"), "site")
 
 
 @pandas_udf(StringType())
@@ -84,8 +84,8 @@ def strip_shared_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     joined = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["_k1"]) & (keyed["_text"] == drop["_k2"]), "left")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.col("n_removed")).cast("long"))
+    n_removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
+    out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", n_removed.cast("long"))
     return out.withColumn("text", without("text", "_drop")).drop("_text", "_k1", "_k2", "_drop")
 
 
@@ -99,7 +99,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents
 ), bare AS (
-  SELECT *, trim(translate(raw, chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line FROM lines
+  SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM lines
 ), shared AS (
   SELECT line, min(doc_id) AS holder FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
 ), judged AS (
