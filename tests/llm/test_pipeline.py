@@ -60,6 +60,22 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed) and rows
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score int, spans string, n_removed int, _text string, size int, seed string, copies int, component_id int, bin int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    row = (1, "one two three\nfour", "en", None, 3, 7, "a", 8, "b", 9, "c", 10, 11, 12)
+    for n, rows in enumerate(([], [row, row, (None,) * 14, (2, "", *row[2:])])):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert all(r.score in (7, None) and r.size in (9, None) and r.n_removed in (8, None) for r in out.collect())
+            out.write.parquet(f"{tmp_path}/{n}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+        assert bool(docs.count()) == bool(rows)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_give_the_rows_of_their_sql(spark, name):
     db = duckdb.connect()
