@@ -160,3 +160,21 @@ def test_token_stage_and_capabilities(spark):
 def test_entry_and_registry(spark):
     assert set(registry.ORACLES) <= set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    """The driver's own folder needn't be the repository: queries send the package to the workers."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\nimport __spark_entry__ as e\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "print('ROWS', e.queries()['html_to_markdown'](s, '/root/testdata/sf0.001').count(), e.entry(s).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 50 " in out.stdout, out.stderr[-2000:]
