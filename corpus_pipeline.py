@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm import common, lines, mixing, ngrams, packing, toxicity
+from inkmill.ship import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; null and empty texts stay."""
+    ship(spark)
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
     return common.guarded(docs, ("score", "spans"), lambda d: toxicity.score(d, model).filter(F.col("score") < toxicity.THRESHOLD))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without lines that many sites share; n_chars follows the text."""
+    ship(spark)
 
     def strip(d: DataFrame) -> DataFrame:
         out = lines.strip_shared_lines(d)
@@ -29,6 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of it are one."""
+    ship(spark)
     gone = ngrams.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -40,6 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document is packed: doc_id, piece, size, bin, start."""
+    ship(spark)
     return packing.pack(docs)
 
 
