@@ -70,7 +70,7 @@ def test_restoration_and_empty_texts():
     assert pii.anonymize(None)["text"] == pii.anonymize("")["text"] == ""
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=60, deadline=None, derandomize=True)
 @given(st.text(alphabet="0123456789 .-+abFR@é\nM", max_size=80))
 def test_no_validated_value_survives(text):
     out = pii.anonymize(text)["text"]
