@@ -32,6 +32,8 @@ WHY_WHOLE = "Corpus de {n} tokens (< {m}) : chargez llms-full.txt en entier avec
 WHY_PARTS = "Corpus de {n} tokens (> {m}) : indexez rag-chunks.jsonl (embedding_text) en recherche hybride embeddings + BM25, puis reranking."
 EMPTY = "- No documents available in this knowledge base."
 KEYWORDS, OUTLINE, SUMMARY = 20, 6, 160
+#: Names of a family that one task folds over.
+FAMILY = 50_000
 #: What encodeURI leaves alone besides letters and digits.
 URI_SAFE = ";,/?:@&=+$-_.!~*'()#"
 
@@ -81,11 +83,18 @@ def chunks_of(processed: DataFrame) -> DataFrame:
     return processed.select("ord", F.explode("chunks").alias("_c")).select("ord", "_c.*")
 
 
-def distinct_names(docs: DataFrame) -> DataFrame:
+def distinct_names(docs: DataFrame, most: int = FAMILY) -> DataFrame:
     """KB-03: filename made unique in order of ord: x.md, x-2.md, ..., the first that is free.
 
-    Names that could collide share a family, their stem without trailing -numbers; one task folds over a family's names.
+    Names that could collide share a family, their stem without trailing -numbers; one task folds over a family's names. In a
+    family of over `most` names, which no task should hold, the second and later bearers of a name get numbers past all
+    numbers in the family's names: unique as well, and counted by ranges of ord.
     """
+    stem = F.regexp_replace("filename", r"\.md$", "")
+    named = docs.select("ord", "filename", F.regexp_replace(stem, r"(-[0-9]+)+$", "").alias("_family"))
+    last = F.regexp_extract(stem, r"-([0-9]{1,9})$", 1)
+    sizes = named.groupBy("_family").agg(F.count("*").alias("_size"), F.max(F.when(last != "", last.cast("long")).otherwise(F.lit(0).cast("long"))).alias("_top"))
+    sized = named.join(sizes, "_family")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
@@ -102,9 +111,15 @@ def distinct_names(docs: DataFrame) -> DataFrame:
             out.append(new)
         return pd.DataFrame({"ord": pdf["ord"], "filename": out})
 
-    family = F.regexp_replace(F.regexp_replace("filename", r"\.md$", ""), r"(-[0-9]+)+$", "")
-    names = docs.select("ord", "filename", family.alias("_family")).groupBy("_family").applyInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
-    return docs.drop("filename").join(names, "ord")
+    small = sized.filter(F.col("_size") <= most).select("ord", "filename", "_family").groupBy("_family").applyInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
+    large = sized.filter(F.col("_size") > most).withColumn("_range", F.floor(F.col("ord") / 10_000))
+    counts = large.groupBy("filename", "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("filename").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("filename", "_range").orderBy("ord")) + F.col("_before")
+    placed = large.join(counts.select("filename", "_range", before.alias("_before")), ["filename", "_range"]).withColumn("_place", place)
+    new = F.concat(F.regexp_replace("filename", r"\.md$", ""), F.lit("-"), (F.col("_top") + F.col("_place")).cast("string"), F.lit(".md"))
+    numbered = placed.select("ord", F.when(F.col("_place") == 1, F.col("filename")).otherwise(new).alias("filename"))
+    return docs.drop("filename").join(small.unionByName(numbered), "ord")
 
 
 def strategy(total: int) -> dict:

@@ -87,6 +87,15 @@ def test_knowledge_base(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "kb/rag-chunks.jsonl")).count() == 3
 
 
+def test_names_of_large_families_are_distinct_too(spark):
+    given = ["a.md", "a.md", "a-2.md", "a.md", "b.md", "a-2.md", "b.md", "a-2-7.md", "c.md"]
+    docs = spark.createDataFrame(list(enumerate(given)), "ord long, filename string")
+    exact = [r.filename for r in kb.distinct_names(docs).orderBy("ord").collect()]
+    assert exact == ["a.md", "a-2.md", "a-2-2.md", "a-3.md", "b.md", "a-2-3.md", "b-2.md", "a-2-7.md", "c.md"]
+    large = [r.filename for r in kb.distinct_names(docs, most=1).orderBy("ord").collect()]
+    assert len(set(large)) == len(given) and large[0] == "a.md" and large[1] == "a-9.md" and large[6] == "b-2.md"
+
+
 def test_empty_knowledge_base(spark):
     base = kb.build(spark.createDataFrame([], "ord long, filename string, markdown string"))
     lines = [r.line for r in base.lines.filter("file = 'llms.txt'").orderBy("section", "number").collect()]
