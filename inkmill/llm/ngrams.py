@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import components, cut, lowest, read
 
@@ -18,7 +21,7 @@ RECALL = 0.9995
 #: Rows of a band: the more, the fewer pairs of low similarity meet; the bands follow from the recall.
 ROWS = 5
 #: Texts of a block, and n-grams that it should hold; a task compares two blocks.
-BLOCK, BLOCK_GRAMS = 512, 1_000_000
+BLOCK, BLOCK_GRAMS = 256, 1_000_000
 #: Up to so many candidates' ids (16 bytes each) are broadcast to find their texts; beyond it the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 #: A text is read in pieces of about so many characters, cut at white space.
@@ -35,7 +38,7 @@ class _Hashes(dict):
     """64-bit hash of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -201,26 +204,22 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     """
     sketch = Sketch(band_count(similarity, recall, rows), rows)
 
-    def signed(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                x = grams(text, n)
-                if len(x):
-                    data = x.tobytes()
-                    out.append((xxhash.xxh3_64_intdigest(data), xxhash.xxh64_intdigest(data, 7), len(x), sketch(x)))
-                else:
-                    out.append(None)
-            signed64 = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "k1": pd.array([None if o is None else signed64(o[0]) for o in out], dtype="Int64"),
-                "k2": pd.array([None if o is None else signed64(o[1]) for o in out], dtype="Int64"),
-                "n": pd.array([None if o is None else o[2] for o in out], dtype="Int64"),
-                "bands": pd.Series([None if o is None else o[3] for o in out], dtype=object, index=pdf.index),
-            })
-
-    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(signed, "doc_id long, k1 long, k2 long, n long, bands array<long>"))
+    signature = StructType([StructField("k1", LongType()), StructField("k2", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
+    arrow = to_arrow_type(signature)
+
+    def signed(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            x = grams(text, n)
+            if len(x):
+                data = x.tobytes()
+                keys = np.array([xxhash.xxh3_64_intdigest(data), xxhash.xxh64_intdigest(data, 7)], dtype=np.uint64).view(np.int64)
+                out.append({"k1": int(keys[0]), "k2": int(keys[1]), "n": len(x), "bands": sketch(x)})
+            else:
+                out.append({"k1": None, "k2": None, "n": None, "bands": None})
+        return pa.array(out, type=arrow)
+
+    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(signed, signature)("text").alias("_s")).select("doc_id", "_s.*"))
     unique = keyed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     unique = cut(unique)
     members = unique.select("rep", "k1", "n", F.explode("bands").alias("bucket"))
