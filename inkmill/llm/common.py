@@ -31,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows and left to a shuffle beyond; it is read twice, so it should be cut."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table or archive that is written once and read again."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -85,7 +90,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = total
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # so that the join can split a hub's edges
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.col("v").alias("x"), "m").unionByName(near.select(F.col("u").alias("x"), "m"))
