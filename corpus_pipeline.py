@@ -33,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of it are one."""
     ship(spark)
-    gone = ngrams.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = common.few(common.cut(ngrams.near_duplicates(docs).filter("not kept").select("doc_id").distinct()), ngrams.BROADCAST_IDS)
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
