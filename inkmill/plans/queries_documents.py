@@ -23,10 +23,15 @@ SECRETS = (
 )
 
 
+#: A table of fewer bytes for each core is dealt out to the cores: its file may be one row group, which one task would read.
+SMALL = 32 << 20
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Small tables in one file become as many tasks as there are cores; large ones already are."""
+    """df, dealt evenly to the cores if the optimizer knows its scan to be small; larger tables come in many splits by themselves."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
