@@ -41,8 +41,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A table of fewer bytes is dealt out to the cores: its file may be one row group, which one task would read.
+SMALL = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder; a small one dealt evenly to the cores, by the optimizer's estimate of its scan. Others come in splits."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
 
 
 def guarded(docs: DataFrame, names: tuple[str, ...], function: Callable[[DataFrame], DataFrame]) -> DataFrame:
