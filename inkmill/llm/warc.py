@@ -25,6 +25,8 @@ DATE = "1970-01-01T00:00:00Z"
 FILE_RECORDS = 500
 #: Up to so many revisits (under 150 bytes each) are broadcast to the pages; beyond it they join by a shuffle of the pages.
 BROADCAST_REVISITS = 50_000
+#: Bytes of a member that are decompressed at a time.
+PIECE = 1 << 16
 END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r?\n")
 _GZIP = b"\x1f\x8b\x08"
@@ -100,54 +102,79 @@ def parse_record(data: bytes, at: int) -> Record:
     return found
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` holds, where it ends, and what failed ('' if nothing did).
+
+    Of a broken member it is what comes out before the failure, and the end is where that was met.
+    """
     reader = zlib.decompressobj(31)
-    try:
-        plain = reader.decompress(data[at:])
-    except zlib.error as e:
-        raise Bad(f"broken member: {e}") from None
-    if not reader.eof:
-        raise Bad("truncated member")
-    return plain, len(data) - len(reader.unused_data)
-
-
-def _next(data: bytes, at: int) -> int:
-    """The next place where a version line or a gzip member may start, or the end."""
-    version = _VERSION.search(data, at)
-    member = data.find(_GZIP, at)
+    out = []
+    step = PIECE
+    while at < len(data):
+        before = reader.copy() if step > 1 else None
+        try:
+            out.append(reader.decompress(data[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), at, f"broken member: {e}"
+            reader, step = before, max(1, step // 16)  # again in smaller steps, so that what comes before the failure is kept
+            continue
+        at = min(len(data), at + step)
+        if reader.eof:
+            return b"".join(out), at - len(reader.unused_data), ""
+    return b"".join([*out, reader.flush()]), at, "truncated member"
+
+
+def _next(data: bytes, at: int, plain: int, members: bool) -> int:
+    """The next place where a gzip member, or from `plain` on a version line, may start, or the end."""
+    version = _VERSION.search(data, max(at, plain))
+    member = data.find(_GZIP, at) if members else -1
     return min(version.start() if version else len(data), member if member >= 0 else len(data))
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive, plain or in gzip members, and the gaps between them.
+def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
+    """All valid records of an archive, plain or (with `members`) in gzip members of any number of records, and the gaps between them.
 
     Where a check fails, the search goes on one byte later for the next version line or member; what lies between is one gap,
-    with the reason of its first failure. Records inside a member carry the member's place.
+    with the reason of its first failure. Records and gaps inside a member carry the member's place, the gaps' reasons their
+    place in the plain bytes. Of a member that is truncated or broken, what comes out before the failure is read in the same
+    way; its bytes are a gap as well, and are searched for the start of a further member, but not for plain records again.
     """
-    at, gap, reason = 0, None, ""
+    at, plain_from, gap, reason = 0, 0, None, ""
     while at < len(data):
-        got: list[Record] = []
-        try:
-            if data.startswith(_GZIP, at):
-                plain, after = _member(data, at)
-                for part in salvage(plain):
-                    if isinstance(part, Gap):
-                        raise Bad(f"in member: {part.reason}") if not got else Bad("rest of member")
-                    got.append(Record(part.headers, part.block, at, after))
-            else:
+        got: list[Record | Gap] = []
+        failed = ""
+        if members and data.startswith(_GZIP, at):
+            plain, after, failed = _member(data, at)
+            parts = list(salvage(plain, members=not failed))
+            if failed and parts and isinstance(parts[-1], Gap) and parts[-1].end == len(plain):
+                parts.pop()  # the record that the failure cut
+            if not failed and parts and not any(isinstance(p, Record) for p in parts):
+                gap, reason = (at, f"in member: {parts[0].reason}") if gap is None else (gap, reason)
+                at = after
+                continue
+            for p in parts:
+                got.append(Record(p.headers, p.block, at, after) if isinstance(p, Record) else Gap(at, after, f"in member, {p.start} to {p.end}: {p.reason}"))
+            if failed and not any(isinstance(p, Record) for p in parts):
+                got = []
+        else:
+            try:
                 got.append(parse_record(data, at))
                 after = got[0].end
-        except Bad as e:
-            if got:
-                after = _member(data, at)[1]
-            else:
-                gap, reason = (at, str(e)) if gap is None else (gap, reason)
-                at = _next(data, at + 1)
-                continue
-        if gap is not None:
+            except Bad as e:
+                failed, after = str(e), 0
+        if got and gap is not None:
             yield Gap(gap, at, reason)
             gap = None
         yield from got
+        if failed:
+            gap, reason = (at, failed) if gap is None else (gap, reason)
+            plain_from = max(plain_from, after)
+            at = _next(data, at + 1, plain_from, members)
+            continue
+        if gap is not None:  # an empty member
+            yield Gap(gap, at, reason)
+            gap = None
         at = after
     if gap is not None:
         yield Gap(gap, len(data), reason)

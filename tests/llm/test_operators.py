@@ -431,6 +431,34 @@ def test_salvage_after_damage(member):
     assert len(ids(whole[:-10])) == 5 and list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("bad", [0, 2, 5])
+def test_salvage_in_a_member_of_several_records(bad):
+    plain = [record(i, random.Random(i).randbytes(300)) for i in range(6)]
+    zipped = lambda parts: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(b"".join(parts)) + z.flush()
+    split = lambda data: split_of(list(warc.salvage(data)))
+    split_of = lambda got: ([r.headers["warc-record-id"] for r in got if isinstance(r, warc.Record)], [g for g in got if isinstance(g, warc.Gap)])
+    urn = lambda *ids: [f"<urn:page:{i}>" for i in ids]
+    hurt = bytearray(plain[bad])
+    hurt[-40] ^= 0xFF
+    member, after = zipped([*plain[:bad], bytes(hurt), *plain[bad + 1 :]]), record(9, b"z" * 200, True)
+    ids, gaps = split(b"junk" + member + after)
+    assert ids == urn(*(i for i in range(6) if i != bad), 9)
+    assert [(g.start, g.end) for g in gaps] == [(0, 4), (4, 4 + len(member))] and gaps[1].reason.endswith("digest differs")
+    # cut or damaged in its compressed bytes, a member still gives the records before, and the archive those after
+    whole = zipped(plain)
+    ids, gaps = split(whole[: len(whole) * 3 // 4])
+    assert ids == urn(0, 1, 2, 3) and [(g.start, g.end, g.reason) for g in gaps] == [(0, len(whole) * 3 // 4, "truncated member")]
+    ids, gaps = split(whole[:-4] + bytes(4) + after)
+    assert ids == urn(*range(6), 9) and [(g.start, g.end) for g in gaps] == [(0, len(whole))] and gaps[0].reason.startswith("broken member")
+    ids, gaps = split(whole[: len(whole) * 3 // 4] + after)
+    assert ids == urn(0, 1, 2, 3, 9) and [(g.start, g.end) for g in gaps] == [(0, len(whole) * 3 // 4)]
+    # stored blocks hold the records in plain, which are not read twice
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = z.compress(b"".join(plain)) + z.flush()
+    ids, gaps = split(stored[:-4] + bytes(4) + after)
+    assert ids == urn(*range(6), 9) and len(gaps) == 1
+
+
 def test_gaps_are_logged_for_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"x" * 200) + b"garbage" + record(2, b"y" * 200))
     (tmp_path / "b.warc").write_bytes(b"")
