@@ -32,8 +32,10 @@ WHY_WHOLE = "Corpus de {n} tokens (< {m}) : chargez llms-full.txt en entier avec
 WHY_PARTS = "Corpus de {n} tokens (> {m}) : indexez rag-chunks.jsonl (embedding_text) en recherche hybride embeddings + BM25, puis reranking."
 EMPTY = "- No documents available in this knowledge base."
 KEYWORDS, OUTLINE, SUMMARY = 20, 6, 160
-#: Names of a family that one task folds over.
+#: Rows of a family that one task folds over; larger families get the same names by ranges.
 FAMILY = 50_000
+#: Rows are counted by ranges of so many values of what orders them.
+RANGE = 10_000
 #: What encodeURI leaves alone besides letters and digits.
 URI_SAFE = ";,/?:@&=+$-_.!~*'()#"
 
@@ -83,17 +85,68 @@ def chunks_of(processed: DataFrame) -> DataFrame:
     return processed.select("ord", F.explode("chunks").alias("_c")).select("ord", "_c.*")
 
 
-def distinct_names(docs: DataFrame, most: int = FAMILY) -> DataFrame:
-    """KB-03: filename made unique in order of ord: x.md, x-2.md, ..., the first that is free.
+def _running(rows: DataFrame, order: str, *ties: Column) -> DataFrame:
+    """rows (key, w and others) with _sum, the sum of w up to each row of its key in the given order; counted by ranges of it."""
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / RANGE))
+    counts = ranged.groupBy("key", "_range").agg(F.sum("w").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("w").over(Window.partitionBy("key", "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    summed = ranged.withColumn("_within", within).join(counts.select("key", "_range", before.alias("_before")), ["key", "_range"])
+    return summed.withColumn("_sum", F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
 
-    Names that could collide share a family, their stem without trailing -numbers; one task folds over a family's names. In a
-    family of over `most` names, which no task should hold, the second and later bearers of a name get numbers past all
-    numbers in the family's names: unique as well, and counted by ranges of ord.
+
+def _first_free(rows: DataFrame) -> DataFrame:
+    """(ord, filename) of rows (ord, filename, _family), named as one fold over a family in order of ord names them.
+
+    A name x-n.md can only be taken by the claimants of x.md, which are its second and later bearers, or all of them if x.md
+    itself was taken. The i-th claimant gets the i-th number from 2 that isn't kept by a given name. A given x-n.md keeps its
+    own if it comes before the claimant who would get there, for which the bearers of x.md before it say enough. So one task
+    folds over the distinct numbered names of a family whose x.md is given as well, and all rows are numbered by ranges.
+    """
+    stem = F.regexp_replace("filename", r"\.md\z", "")
+    firsts = rows.groupBy("_family", "filename").agg(F.min("ord").alias("ord"))
+    number = F.regexp_extract(stem, r"-([2-9]|[1-9][0-9]{1,17})\z", 1)
+    children = firsts.select("_family", F.col("filename").alias("child"), "ord", number.alias("_number"), F.concat(F.regexp_replace(stem, r"-[0-9]+\z", ""), F.lit(".md")).alias("key"))
+    children = children.filter("_number <> ''").withColumn("number", F.col("_number").cast("long")).join(firsts.select(F.col("filename").alias("key")), "key", "left_semi")
+    given = rows.select("_family", F.col("filename").alias("key"), "ord", F.lit(1).alias("w"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("number"))
+    placed = _running(given.unionByName(children.select("_family", "key", "ord", F.lit(0).alias("w"), "child", "number")), "ord", F.col("w"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: dict[str, bool] = {}
+        out = []
+        for key, part in sorted(pdf.groupby("key"), key=lambda g: len(g[0])):  # x before x-n
+            passed = 0
+            for child, n, bearers in part.sort_values("number")[["child", "number", "bearers"]].itertuples(index=False):
+                claimants = max(0, bearers - 1) if kept.get(key, True) else bearers
+                kept[child] = n - 1 - passed > claimants
+                out.append((key, child, kept[child], n - 1 - passed))
+                passed += kept[child]
+        return pd.DataFrame(out, columns=["key", "child", "kept", "at"])
+
+    marks = placed.filter("w = 0").select("_family", "key", "child", "number", F.col("_sum").alias("bearers"))
+    decided = reliable(marks.groupBy("_family").applyInPandas(decide, "key string, child string, kept boolean, at long"))
+    own = decided.select(F.col("child").alias("key"), "kept")
+    ranked = placed.filter("w = 1").select("key", "ord", F.col("_sum").alias("_place")).join(own, "key", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    claims = ranked.select("key", "ord", F.when(F.col("kept"), F.col("_place") - 1).otherwise(F.col("_place")).alias("at"), F.lit(0).cast("long").alias("w"))
+    stops = decided.filter("kept").groupBy("key", "at").agg(F.count("*").alias("w"))
+    numbered = _running(claims.filter("at > 0").unionByName(stops, allowMissingColumns=True), "at", F.desc("w")).filter("w = 0")
+    new = F.concat(F.regexp_replace("key", r"\.md\z", ""), F.lit("-"), (F.col("at") + 1 + F.col("_sum")).cast("string"), F.lit(".md"))
+    return claims.filter("at = 0").select("ord", F.col("key").alias("filename")).unionByName(numbered.select("ord", new.alias("filename")))
+
+
+def distinct_names(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """KB-03: filename made unique in order of ord: x.md, x-2.md, ..., the first that is free, at any size.
+
+    Names that could collide share a family, their stem without trailing -numbers. One task folds over the names of a family
+    of up to FAMILY rows, or of one with names that don't end in .md; larger ones get the same names by ranges. Only if `most`
+    is given, the second and later bearers of a name in a family of over `most` rows get numbers past all numbers in the
+    family's names: unique as well, but not the first free ones.
     """
     stem = F.regexp_replace("filename", r"\.md$", "")
-    named = docs.select("ord", "filename", F.regexp_replace(stem, r"(-[0-9]+)+$", "").alias("_family"))
+    given = reliable(docs.select("ord", "filename")) if most is None else docs  # so that docs is read once for all steps
+    named = given.select("ord", "filename", F.regexp_replace(stem, r"(-[0-9]+)+$", "").alias("_family"))
     last = F.regexp_extract(stem, r"-([0-9]{1,9})$", 1)
-    sizes = named.groupBy("_family").agg(F.count("*").alias("_size"), F.max(F.when(last != "", last.cast("long")).otherwise(F.lit(0).cast("long"))).alias("_top"))
+    sizes = named.groupBy("_family").agg(F.count("*").alias("_size"), F.max(F.when(last != "", last.cast("long")).otherwise(F.lit(0).cast("long"))).alias("_top"), F.bool_and(F.col("filename").endswith(".md")).alias("_md"))
     sized = named.join(sizes, "_family")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,8 +164,12 @@ def distinct_names(docs: DataFrame, most: int = FAMILY) -> DataFrame:
             out.append(new)
         return pd.DataFrame({"ord": pdf["ord"], "filename": out})
 
-    small = sized.filter(F.col("_size") <= most).select("ord", "filename", "_family").groupBy("_family").applyInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
-    large = sized.filter(F.col("_size") > most).withColumn("_range", F.floor(F.col("ord") / 10_000))
+    folds = (F.col("_size") <= FAMILY) | ~F.col("_md") if most is None else F.col("_size") <= most
+    small = sized.filter(folds).select("ord", "filename", "_family").groupBy("_family").applyInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
+    if most is None:
+        rest = sized.filter(~folds).select("ord", "filename", "_family")
+        return docs.drop("filename").join(small if rest.isEmpty() else small.unionByName(_first_free(rest)), "ord")
+    large = sized.filter(~folds).withColumn("_range", F.floor(F.col("ord") / 10_000))
     counts = large.groupBy("filename", "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("filename").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("filename", "_range").orderBy("ord")) + F.col("_before")

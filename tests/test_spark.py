@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -96,6 +97,24 @@ def test_names_of_large_families_are_distinct_too(spark):
     assert len(set(large)) == len(given) and large[0] == "a.md" and large[1] == "a-9.md" and large[6] == "b-2.md"
 
 
+def test_names_are_the_first_free_ones_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(kb, "FAMILY", 1)
+    monkeypatch.setattr(kb, "RANGE", 7)
+    rng = random.Random(9)
+    names = [rng.choice(["a", "a", "b", "ab"]) + "".join(f"-{rng.choice([0, 2, 2, 3, 4, 5, 7, 12, '02'])}" for _ in range(rng.choice([0, 0, 1, 1, 2]))) + ".md" for _ in range(400)]
+    small = ["a.md", "a.md", "a-2.md", "a.md", "b.md", "a-2.md", "b.md", "a-2-7.md", "c.md"]
+    for given in (small, names, [f"p-{i}.md" for i in range(2, 40)] + ["p.md"] * 30, ["p.md"] * 30 + [f"p-{i}.md" for i in range(40, 1, -1)]):
+        used, want = set(), []
+        for name in given:
+            new, n = name, 2
+            while new in used:
+                new, n = f"{name.removesuffix('.md')}-{n}.md", n + 1
+            used.add(new)
+            want.append(new)
+        docs = spark.createDataFrame(list(enumerate(given)), "ord long, filename string")
+        assert [r.filename for r in kb.distinct_names(docs).orderBy("ord").collect()] == want
+
+
 def test_empty_knowledge_base(spark):
     base = kb.build(spark.createDataFrame([], "ord long, filename string, markdown string"))
     lines = [r.line for r in base.lines.filter("file = 'llms.txt'").orderBy("section", "number").collect()]
