@@ -88,7 +88,7 @@ def pii_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _personal(spark, sf_dir).select("doc_id", stages.anonymize(F.col("text"), "redact").alias("a"))
-    return done.select("doc_id", F.substring("a.text", 1, 80).alias("start"), "a.total", F.size("a.originals").alias("n_aliases"))
+    return done.select("doc_id", F.substring("a.text", 1, 80).alias("start"), F.md5("a.text").alias("text_md5"), "a.total", F.size("a.originals").alias("n_aliases"))
 
 
 def pii_restore(spark: SparkSession, sf_dir: str) -> DataFrame:

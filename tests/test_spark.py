@@ -1,5 +1,6 @@
 """Stages, native expressions against the pure functions, knowledge bases, sinks, SQL and streaming."""
 
+import hashlib
 import io
 import json
 import random
@@ -13,7 +14,7 @@ from inkmill import sql
 from inkmill.functions import markdown, native, pii, plain, tokens
 from inkmill.operators import sheets, stages
 from inkmill.options import Options
-from inkmill.plans import api, kb, registry
+from inkmill.plans import api, kb, queries_documents, registry
 from inkmill.sources import readers, writers
 from inkmill.streaming import ingest
 
@@ -134,6 +135,13 @@ def test_files_are_converted_one_by_one(spark, tmp_path):
     assert economy.original_tokens > 0
 
 
+def test_redaction_shows_the_whole_text(spark):
+    rows = queries_documents._personal(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()
+    want = {r.doc_id: hashlib.md5(pii.anonymize(r.text, "redact")["text"].encode()).hexdigest() for r in rows}
+    found = {r.doc_id: r.text_md5 for r in queries_documents.pii_redact(spark, "/root/testdata/sf0.001").collect()}
+    assert found == want and any(len(r.text) > 80 for r in rows)
+
+
 def test_requests(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n\nMail a@b.fr  \n\n\n\nfin")
     (tmp_path / "b.doc").write_text("x")
