@@ -21,9 +21,10 @@ from .common import read
 SAMPLE = 3_000
 #: Features of tokens: the whole word, and beginnings of so many letters.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Features that are weighed before some are chosen, and known tokens of a document that are learned from (four times as many
-#: set the document scores' scale).
-CANDIDATES, LEARNED = 1_500, 64
+#: Features that are weighed before some are chosen.
+CANDIDATES = 1_500
+#: Training documents of like length are padded to one; so many cells at most, or one document.
+CELLS = 1 << 18
 THRESHOLD = 0.3
 #: Tokens of spans have at least this marginal.
 SPAN = 0.5
@@ -188,24 +189,35 @@ class Batch:
         return np.where(self.real, out, 0.0)
 
 
+def batches(docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], features: int) -> list[Batch]:
+    """The documents in batches of like numbers of known tokens, all of which are learned from."""
+    out: list[list] = []
+    for d in sorted(docs, key=lambda d: len(d[1])):
+        if not out or (len(out[-1]) + 1) * len(d[1]) > CELLS:
+            out.append([])
+        out[-1].append(d)
+    return [Batch(b, features) for b in out]
+
+
 def train(docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], features: int, rounds: int = 40, ridge: float = 0.05) -> Chain:
     """Maximum penalised conditional likelihood by Adam. Known tokens of toxic documents are tagged toxic, all else clean."""
     some = [d for d in docs if d[1]]
     some += [d for d in docs if not d[1]][: max(200, len(some) // 2)]
-    batch = Batch([(n, p[:LEARNED], w[:LEARNED], y) for n, p, w, y in some], features)
+    parts = batches(some, features)
     x = np.concatenate([np.zeros(features), [-2.0, 1.0, -1.0, -4.0]])
     chain = lambda x: Chain(x[:features], np.array([[0.0, x[-4]], [x[-3], x[-2]]]), x[-1])
     first, second = np.zeros_like(x), np.zeros_like(x)
     for r in range(1, rounds + 1):
         now = chain(x)
-        value, gap, emit, front = batch.forward(now)
         grad = np.zeros_like(x)
-        by_kind = np.bincount(batch.word[batch.real], (batch.tagged - batch.expected(now, gap, emit, front))[batch.real], len(batch.of))
-        grad[:features] = by_kind @ batch.of
-        for k in range(4):  # of the few that all gaps depend on, by a difference
-            moved = x.copy()
-            moved[features + k] += 1e-4
-            grad[features + k] = (batch.forward(chain(moved))[0] - value) / 1e-4
+        for batch in parts:
+            value, gap, emit, front = batch.forward(now)
+            by_kind = np.bincount(batch.word[batch.real], (batch.tagged - batch.expected(now, gap, emit, front))[batch.real], len(batch.of))
+            grad[:features] += by_kind @ batch.of
+            for k in range(4):  # of the few that all gaps depend on, by a difference
+                moved = x.copy()
+                moved[features + k] += 1e-4
+                grad[features + k] += (batch.forward(chain(moved))[0] - value) / 1e-4
         grad = grad / len(some) - ridge / len(some) * x
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         x = x + 0.4 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
@@ -310,27 +322,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def counts(batches):
         for pdf in batches:
             both: tuple[Counter, Counter] = Counter(), Counter()
-            size = [0, 0]
             for y, t in zip(pdf["toxic"], pdf["text"]):
                 words = {w for _, p in pieces(t or "") for w in _TOKEN.findall(p.lower())}
                 both[y].update({f for w in words for f in features(w)})
-                size[y] += 1
             names = list(both[0].keys() | both[1].keys())
-            yield pd.DataFrame({"feature": ["", *names], "c": [size[0], *(both[0][f] for f in names)], "t": [size[1], *(both[1][f] for f in names)]})
+            yield pd.DataFrame({"feature": names, "c": [both[0][f] for f in names], "t": [both[1][f] for f in names]})
 
     summed = texts.mapInPandas(counts, "feature string, c long, t long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    likely = summed.filter("t >= 3").filter((F.col("t") > 2 * F.col("c")) | (F.col("feature") == "")).orderBy(F.col("feature") != "", F.desc(F.col("t") - 2 * F.col("c")), "feature").limit(4 * CANDIDATES).toPandas()
-    sizes = likely[likely["feature"] == ""]
-    clean, bad = (int(sizes["c"].sum()), int(sizes["t"].sum()))
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    clean, bad = sizes.get(0, 0), sizes.get(1, 0)
+    margin = F.col("t") * max(1, clean) - 2 * F.col("c") * max(1, bad)  # by rates of the classes
+    likely = summed.filter((F.col("t") >= 3) & (margin > 0)).orderBy(margin.desc(), "feature").limit(4 * CANDIDATES).toPandas()
     least = max(3, round(0.005 * bad))
-    precise = [f for f, c, t in zip(likely["feature"], likely["c"], likely["t"]) if f and t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (clean + 1)][:CANDIDATES]
+    precise = [f for f, c, t in zip(likely["feature"], likely["c"], likely["t"]) if t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (clean + 1)][:CANDIDATES]
     index = {f: i for i, f in enumerate(precise)}
 
     def places(batches):
         known = Known(index, list)
         for pdf in batches:
             found = [active(t or "", known) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "n": [f[0] for f in found], "at": [f[1][: 4 * LEARNED] for f in found], "has": [f[2][: 4 * LEARNED] for f in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "n": [f[0] for f in found], "at": [f[1] for f in found], "has": [f[2] for f in found]})
 
     seen = texts.mapInPandas(places, "doc_id long, toxic int, n long, at array<long>, has array<array<int>>").toPandas().sort_values("doc_id", kind="stable")
     toxic = [bool(y) for y in seen["toxic"]]

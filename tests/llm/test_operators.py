@@ -251,6 +251,23 @@ def test_toxicity_held_out(spark, edges, none):
         assert toxicity.score(edges, toxicity.fit(docs_of(spark, rows), few)).filter("score between 0 and 1").count() == len(EDGES)
 
 
+def test_all_known_tokens_are_learned_from(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(60):
+        n = int(rng.integers(80, 120))
+        docs.append((2 * n, list(range(0, 2 * n, 2)), [(1,) if i % 2 and k >= 70 else (0,) for k in range(n)], i % 2))
+    one = toxicity.train(docs, 2)
+    assert one.weights[1] > 1  # of a feature that no document has among its first 64 known tokens
+    monkeypatch.setattr(toxicity, "CELLS", 2000)
+    many = toxicity.train(docs, 2)
+    assert len(toxicity.batches(docs, 2)) > 2 and np.allclose(one.weights, many.weights, atol=1e-2) and np.allclose(one.move, many.move, atol=1e-2)
+    rows, labels = toxic_corpus()
+    rows = [(i, t + " scummy" * 300 + " brutish" if y else t, s) for (i, t, s), (_, _, y) in zip(rows, labels)]
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("brutish".startswith(f[1:]) for f in model.index)
+
+
 def test_pieces_cut_nothing():
     text = ("abc déf " * 100) + "x" * 50
     old, toxicity.PIECE = toxicity.PIECE, 64
