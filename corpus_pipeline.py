@@ -31,10 +31,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of it are one."""
+    """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of a doc_id and text are one.
+
+    Rows of one doc_id with different texts are judged by text.
+    """
     ship(spark)
-    gone = common.few(common.cut(ngrams.near_duplicates(docs).filter("not kept").select("doc_id").distinct()), ngrams.BROADCAST_IDS)
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    judged = common.cut(ngrams.near_duplicates(docs, with_hash=True).filter("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n")).filter("not _kept or _n > 1"))
+    gone = common.few(judged.filter("not _kept").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")), ngrams.BROADCAST_IDS)
+    again = common.few(judged.filter("_kept").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")), ngrams.BROADCAST_IDS)
+    same = (F.col("doc_id") == F.col("_near_id")) & (F.xxhash64("text") == F.col("_near_hash"))
+    left = docs.join(gone, same, "left_anti")
+    if judged.filter("_kept").isEmpty():
+        return left.select(*[F.col(f"`{c}`") for c in names])
+    repeated = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").unionByName(repeated).select(*[F.col(f"`{c}`") for c in names])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,11 +133,11 @@ def _verify(rows: pd.DataFrame, n: int, similarity: float, i: int, j: int, bucke
     """Links between two blocks of a bucket that no earlier bucket of both texts has shown."""
     sets = [grams(t, n) for t in rows["text"]]
     same = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64) == rows["k1"].to_numpy()
-    rows = rows.assign(at=np.arange(len(rows)))[same].drop_duplicates("rep").sort_values("rep", kind="stable")  # not another text under the doc_id
+    rows = rows.assign(at=np.arange(len(rows)))[same].drop_duplicates("k1").sort_values("k1", kind="stable")  # not another text under the doc_id
     sets = [sets[k] for k in rows["at"]]
     if not sets:
         return None
-    ids, copies, block = rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
+    ids, copies, block = rows["k1"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     if not len(left) or not len(right):
@@ -191,7 +191,7 @@ def _groups(n: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, with_hash: bool = False) -> DataFrame:
     """Rows (doc_id, n_links, component_id, kept), a row for each of docs.
 
     Documents link when the Jaccard similarity of their sets of n-grams of lower-cased words reaches `similarity`. Texts with
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     a bucket of any size is split; a pair counts in the first bucket that it shares. Tasks give link counts and one edge a
     text, never pairs. component_id is the smallest doc_id reachable by links, kept is doc_id = component_id. Null and empty
     texts have no n-grams; they and null doc_ids link with nothing and are kept. Repeated rows are copies; rows of one doc_id
-    with different texts link by text, under that id. Other columns are ignored.
+    with different texts link by text, under that id;
+    components are of texts, and `with_hash` adds text_hash, xxhash64 of the text, to tell them apart. Other columns are ignored.
     """
     sketch = Sketch(band_count(similarity, recall, rows), rows)
 
@@ -219,7 +220,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
                 out.append({"k1": None, "k2": None, "n": None, "bands": None})
         return pa.array(out, type=arrow)
 
-    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(signed, signature)("text").alias("_s")).select("doc_id", "_s.*"))
+    own = ["text_hash"] if with_hash else []
+    hashed = [F.xxhash64("text").alias("text_hash")] if with_hash else []
+    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashed, F.arrow_udf(signed, signature)("text").alias("_s")).select("doc_id", *own, "_s.*"))
     unique = keyed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     unique = cut(unique)
     members = unique.select("rep", "k1", "n", F.explode("bands").alias("bucket"))
@@ -241,11 +244,13 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     found = cut(sorted_.mapInPandas(_groups(n, similarity), "id long, links long, low long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    info = unique.select("k1", "k2", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.select("doc_id", "k1", "k2").join(info, ["k1", "k2"], "left")
+    named = group.join(unique.select(F.col("k1").alias("node"), "rep"), "node")
+    lowest_ids = named.join(named.groupBy("component").agg(F.min("rep").alias("_low")), "component").select(F.col("node").alias("k1"), "_low")
+    info = unique.select("k1", "k2", "rep", "copies").join(links.withColumnRenamed("id", "k1"), "k1", "left").join(lowest_ids, "k1", "left")
+    info = info.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("_low", "rep").alias("component_id"))
+    out = keyed.select("doc_id", "k1", "k2", *own).join(info, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *own, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,15 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed) and rows
 
 
+def test_near_duplicates_go_by_text_and_repeated_rows_are_one(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (6, near), (6, texts[2]), (7, texts[3]), (7, texts[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert Counter(map(tuple, out.collect())) == Counter([(1, texts[0]), (5, texts[1]), (6, texts[2]), (7, texts[3]), (None, None)])
+
+
 def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, score int, spans string, n_removed int, _text string, size int, seed string, copies int, component_id int, bin int"
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
