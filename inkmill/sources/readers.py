@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 
+#: A scan of at least so many splits a core isn't looked at: it keeps all cores busy.
+SPLITS = 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose file layout leaves cores idle, dealt evenly to them; any other as it is.
+
+    A Parquet file is read by as many tasks as it has row groups, however many splits it is cut into, so the splits that hold
+    rows are counted (from the footers, no column is read). The rule looks at the layout and at no size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= SPLITS * cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("_p")).distinct().count()
+    return df.repartition(cores) if busy < cores else df
+
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Files under a path as rows (ord, path, content, length); ord is their place by path. Files over the limit keep no content."""
