@@ -10,23 +10,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 #: One word: a run of bytes other than ASCII white space. The same set as Python's bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the cluster names one, else a temporary one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one only where driver and executors are one process."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkmill-checkpoint-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; Spark's cleaner drops it with the last reference."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark drops it with its last reference where spark.cleaner.referenceTracking.cleanCheckpoints is set, else the cluster
+    clears the folder.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -41,15 +49,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: A table of fewer bytes is dealt out to the cores: its file may be one row group, which one task would read.
-SMALL = 16 << 20
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written under a path, in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder; a small one dealt evenly to the cores, by the optimizer's estimate of its scan. Others come in splits."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
+    """A table of the folder; dealt to the cores where its files hold fewer row groups than there are cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def guarded(docs: DataFrame, names: tuple[str, ...], function: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -65,21 +73,39 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, last, "")), F.lit(0)).cast("long")
 
 
-def number_in(df: DataFrame, group: str, order: list[Column], rows: int, per: int = 50_000, name: str = "slot") -> DataFrame:
+#: Copies that one row is expanded to at a time.
+COPIES = 1 << 16
+
+
+def copied(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Each row as often as its column `times` says, numbered from 0 in the column `name`.
+
+    A row of more than COPIES copies is first split into ranges of so many, which are dealt out, so that no task makes all
+    copies of a hot row.
+    """
+    one = df.filter(F.col(times) <= COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)).alias(name)).filter(F.col(times) > 0)
+    ranges = df.filter(F.col(times) > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    spread_out = ranges.repartition(*[F.col(f"`{c}`") for c in df.columns], F.col("_from"))
+    many = spread_out.select(*df.columns, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col(times)) - 1)).alias(name))
+    return one.unionByName(many)
+
+
+def number_in(df: DataFrame, group: str, order: list[str], rows: int, per: int = 50_000, name: str = "slot", times: str | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, no group in one task.
 
     Rows are dealt to hash buckets of about `per` rows; the buckets' counts (few rows) give each bucket's first number, and
-    a window numbers only within (group, bucket).
+    a window numbers only within (group, bucket). With `times` a row stands for so many equal rows: it gets the first of
+    their numbers. The rows should be distinct, so that none of them can fill a bucket.
     """
+    weight = F.col(times) if times else F.lit(1).cast("long")
     buckets = max(1, -(-rows // per))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    first = counts.withColumn(
-        "_first", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
-    joined = dealt.withColumn("_within", within).join(first, [group, "_bucket"])
-    return joined.withColumn(name, (F.col("_first") + F.col("_within") - 1).cast("long")).drop("_bucket", "_within", "_first")
+    counts = dealt.groupBy(group, "_bucket").agg(F.sum(weight).alias("_n"))
+    past = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_first"))
+    before = F.coalesce(F.sum(weight).over(Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = dealt.withColumn("_before", before).join(first, [group, "_bucket"])
+    return joined.withColumn(name, (F.col("_first") + F.col("_before")).cast("long")).drop("_bucket", "_before", "_first")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -108,6 +134,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return leaf.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def named_by_least(group: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least) of components (node, component): the smallest id that nodes (node, id) give to a node of the component."""
+    named = group.join(nodes.select("node", "id"), "node")
+    return named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
+
+
 def lowest(hit: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each of ids the smallest id that it reaches by hit, links between the rows at left and those at right."""
     low, most = ids.copy(), np.iinfo(np.int64).max
