@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import components, cut, lowest, read
+from .common import components, cut, lowest, named_by_least, read
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the similarity sought shares a band with at least this probability.
@@ -22,7 +22,7 @@ RECALL = 0.9995
 ROWS = 5
 #: Texts of a block, and n-grams that it should hold; a task compares two blocks.
 BLOCK, BLOCK_GRAMS = 256, 1_000_000
-#: Up to so many candidates' ids (16 bytes each) are broadcast to find their texts; beyond it the texts are shuffled to them.
+#: Up to so many candidates' ids (16 bytes each, with the hash of the text) are broadcast to find their texts; beyond it the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 #: A text is read in pieces of about so many characters, cut at white space.
 PIECE = 1 << 22
@@ -131,17 +131,13 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wanted:
 
 def _verify(rows: pd.DataFrame, n: int, similarity: float, i: int, j: int, bucket: int) -> pd.DataFrame | None:
     """Links between two blocks of a bucket that no earlier bucket of both texts has shown."""
-    sets = [grams(t, n) for t in rows["text"]]
-    same = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64) == rows["k1"].to_numpy()
-    rows = rows.assign(at=np.arange(len(rows)))[same].drop_duplicates("k1").sort_values("k1", kind="stable")  # not another text under the doc_id
-    sets = [sets[k] for k in rows["at"]]
-    if not sets:
-        return None
-    ids, copies, block = rows["k1"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
+    rows = rows.sort_values("node", kind="stable")
+    nodes, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
-    if not len(left) or not len(right):
+    if not len(left) or not len(right) or len(nodes) < 2:
         return None
+    sets = [grams(t, n) for t in rows["text"]]
     own = np.array(rows["bands"].tolist(), dtype=np.int64)
     at = int(np.flatnonzero(own[0] == bucket)[0])
     wanted = np.ones((len(left), len(right)), dtype=bool) if i != j else ~np.eye(len(left), dtype=bool)
@@ -159,12 +155,12 @@ def _verify(rows: pd.DataFrame, n: int, similarity: float, i: int, j: int, bucke
     hit = wanted & (common >= similarity * (size[left][:, None] + size[right][None, :] - common) - 1e-9)
     if not hit.any():
         return None
-    links = np.zeros(len(ids), dtype=np.int64)
+    links = np.zeros(len(nodes), dtype=np.int64)
     links[left] += hit @ copies[right]
     links[right] += hit.T @ copies[left]
     touched = np.unique(np.concatenate([left[hit.any(axis=1)], right[hit.any(axis=0)]]))
-    low = lowest(hit | hit.T if i == j else hit, left, right, ids)
-    return pd.DataFrame({"id": ids[touched], "links": links[touched], "low": low[touched]})
+    low = lowest(hit | hit.T if i == j else hit, left, right, nodes)
+    return pd.DataFrame({"node": nodes[touched], "links": links[touched], "low": low[touched]})
 
 
 def _groups(n: int, similarity: float):
@@ -194,14 +190,15 @@ def _groups(n: int, similarity: float):
 def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, with_hash: bool = False) -> DataFrame:
     """Rows (doc_id, n_links, component_id, kept), a row for each of docs.
 
-    Documents link when the Jaccard similarity of their sets of n-grams of lower-cased words reaches `similarity`. Texts with
-    equal sets are one candidate and link with each other. The candidates' bands are shuffled, not their texts; buckets with
-    one member go, and of buckets with the same members one stays. The texts in what is left meet in tasks of two blocks, so
-    a bucket of any size is split; a pair counts in the first bucket that it shares. Tasks give link counts and one edge a
-    text, never pairs. component_id is the smallest doc_id reachable by links, kept is doc_id = component_id. Null and empty
-    texts have no n-grams; they and null doc_ids link with nothing and are kept. Repeated rows are copies; rows of one doc_id
-    with different texts link by text, under that id;
-    components are of texts, and `with_hash` adds text_hash, xxhash64 of the text, to tell them apart. Other columns are ignored.
+    Documents link when the Jaccard similarity of their sets of n-grams of lower-cased words reaches `similarity`, a tie
+    included. Texts with equal sets are one node and link with each other. The nodes' bands are shuffled, not their texts;
+    buckets with one member go, and of buckets with the same members one stays. One text of each node in what is left goes to
+    tasks of two blocks, so a bucket of any size is split; a pair counts in the first bucket that it shares. Tasks give link
+    counts and one edge a text, never pairs. component_id is the smallest doc_id reachable by links, kept is
+    doc_id = component_id. Null and empty texts have no n-grams; they and null doc_ids link with nothing and are kept; a text
+    of fewer words than n is one n-gram; long texts are read in pieces. Repeated rows are copies, of which one text is sent.
+    Rows of one doc_id with different texts are different nodes: each has its own links, and they aren't linked by their id.
+    `with_hash` adds text_hash, xxhash64 of the text, to tell them apart. No rows give no rows; other columns are ignored.
     """
     sketch = Sketch(band_count(similarity, recall, rows), rows)
 
@@ -221,33 +218,33 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
         return pa.array(out, type=arrow)
 
     own = ["text_hash"] if with_hash else []
-    hashed = [F.xxhash64("text").alias("text_hash")] if with_hash else []
-    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashed, F.arrow_udf(signed, signature)("text").alias("_s")).select("doc_id", *own, "_s.*"))
-    unique = keyed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    unique = cut(unique)
-    members = unique.select("rep", "k1", "n", F.explode("bands").alias("bucket"))
-    name = F.xxhash64("rep", "k1")
+    keyed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.arrow_udf(signed, signature)("text").alias("_s")).select("doc_id", "text_hash", "_s.*"))
+    equal = keyed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2")
+    unique = equal.agg(F.min(F.struct("doc_id", "text_hash")).alias("_of"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    unique = cut(unique.select("k1", "k2", F.col("_of.doc_id").alias("id"), "_of.text_hash", "copies", "n", "bands", F.monotonically_increasing_id().alias("node")))
+    members = unique.select("node", "n", F.explode("bands").alias("bucket"))
+    name = F.xxhash64("node")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(name).alias("f1"), F.sum(F.shiftright(name, 20)).alias("f2")).filter("m > 1")
     stay = buckets.groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket"), F.first("total").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(stay.select("bucket", F.least(blocks, F.col("m").cast("int")).alias("blocks")), "bucket").groupBy("rep", "k1").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blocks"))).alias("in"))
-    chosen = cut(placed.join(unique, ["rep", "k1"]).select("rep", "k1", "copies", "in", F.transform("bands", lambda b: F.when(F.map_contains_key("in", b), b).otherwise(F.lit(0).cast("long"))).alias("bands")))
-    ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = members.join(stay.select("bucket", F.least(blocks, F.col("m").cast("int")).alias("blocks")), "bucket").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blocks"))).alias("in"))
+    seen = F.transform("bands", lambda b: F.when(F.map_contains_key("in", b), b).otherwise(F.lit(0).cast("long")))
+    chosen = cut(placed.join(unique, "node").select("node", F.col("id").alias("doc_id"), "text_hash", "copies", "in", seen.alias("bands")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    ids = chosen.select("doc_id", "text_hash")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    ready = texts.join(chosen, texts["doc_id"] == chosen["rep"]).drop("doc_id").select("*", F.explode("in").alias("bucket", "blocks")).drop("in")
-    ready = ready.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+        texts = texts.join(F.broadcast(ids), ["doc_id", "text_hash"], "left_semi")
+    once = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle, by partial aggregation
+    ready = once.join(chosen, ["doc_id", "text_hash"]).select("node", "copies", "bands", "text", F.explode("in").alias("bucket", "blocks"))
+    ready = ready.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     ready = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ready = ready.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "k1", "copies", "bands", "text")
+    ready = ready.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "bands", "text")
     sorted_ = ready.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = cut(sorted_.mapInPandas(_groups(n, similarity), "id long, links long, low long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    group = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    named = group.join(unique.select(F.col("k1").alias("node"), "rep"), "node")
-    lowest_ids = named.join(named.groupBy("component").agg(F.min("rep").alias("_low")), "component").select(F.col("node").alias("k1"), "_low")
-    info = unique.select("k1", "k2", "rep", "copies").join(links.withColumnRenamed("id", "k1"), "k1", "left").join(lowest_ids, "k1", "left")
-    info = info.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("_low", "rep").alias("component_id"))
+    found = cut(sorted_.mapInPandas(_groups(n, similarity), "node long, links long, low long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    group = named_by_least(components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))), unique)
+    info = unique.select("k1", "k2", "node", "id", "copies").join(links, "node", "left").join(group, "node", "left")
+    info = info.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     out = keyed.select("doc_id", "k1", "k2", *own).join(info, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", *own, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
