@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, number_in, read
+from .common import copied, cut, number_in, read
 
 SHARDS = 24
 #: Groups that one task differences at a time; also the share of all bytes, one in so many, from which a group is large.
@@ -98,21 +98,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -
     of which there are fewer than per_bucket, are differenced in one task. The others are dealt to hash buckets of about
     per_bucket groups; each bucket's task differences them together with its share of what the large groups hold, so it
     makes up for them. No task and not the driver ever holds all groups. A group larger than a shard's share keeps one shard
-    for itself; the others stay even. A null text counts as an empty one (no bytes); both have crc 0. Null doc_ids and
-    repeated rows are numbered as any other row. No rows give no rows. Extra columns are ignored.
+    for itself; the others stay even. A null text counts as an empty one (no bytes); both have crc 0. Repeated rows are
+    counted first and numbered as one row with so many slots, so they fill no task; null doc_ids are numbered as others.
+    Texts of any length are read once, for size and hashes. No rows give no rows. Extra columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    narrow = cut(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("k1"),
-            F.xxhash64(F.lit(1), text, F.octet_length(text)).alias("k2"),
-        )
+    measured = docs.select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("k1"),
+        F.xxhash64(F.lit(1), text, F.octet_length(text)).alias("k2"),
     )
+    row = measured.columns
+    narrow = cut(measured.groupBy(*row).agg(F.count("*").alias("times")))
     rows = narrow.count()
-    groups = cut(narrow.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
+    groups = cut(narrow.groupBy("k1", "k2").agg(F.sum(F.col("size") * F.col("times")).alias("bytes")))
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     is_large = F.col("bytes") * per_bucket > total
     large = cut(groups.filter(is_large).withColumn("task", F.lit(0)).groupBy("task").applyInPandas(_large(shards), "k1 long, k2 long, shard int, sums array<long>"))
@@ -122,8 +123,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -
     dealt = groups.filter(~is_large).withColumn("bucket", F.pmod("k2", F.lit(buckets)))
     others = dealt.groupBy("bucket").applyInPandas(_bucket(held, total - sum(held)), "k1 long, k2 long, shard int")
     final = cut(others.unionByName(large.select("k1", "k2", "shard")))
-    out = narrow.join(final, ["k1", "k2"]).select("doc_id", "size", "text_crc32", "shard")
-    return number_in(out, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], rows)
+    numbered = number_in(narrow.join(final, ["k1", "k2"]), "shard", row, rows, name="first", times="times")
+    slot = (F.col("first") + F.col("copy")).alias("slot")
+    return copied(numbered, "times", "copy").select("doc_id", "size", "text_crc32", "shard", slot)
 
 
 def op3_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
