@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, word_count
+from .common import copied, cut, few, read, word_count
 
 #: Words that a bin holds.
 CAPACITY = 4_096
-#: A bin takes at most so many documents of a source: each document has one of the source's slots, by hash.
-SOURCE_SLOTS = 8
+#: A bin takes one document of a slot. A source has so many slots at least, and so many times the documents of it that a bin
+#: would hold if all bins were alike, so that bins can be filled whatever the number of sources.
+SOURCE_SLOTS, ROOM = 8, 4
+#: Up to so many sources' slots (under 100 bytes each) are broadcast; beyond it they join by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: Pieces that one task packs; the number of tasks follows the input.
 PER_TASK = 20_000
 
@@ -62,24 +65,34 @@ def _task(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, source_slots: int = SOURCE_SLOTS, per_task: int = PER_TASK) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, source_slots: int | None = None, per_task: int = PER_TASK) -> DataFrame:
     """Rows (doc_id, piece, size, bin, start): every word of every document in one bin of at most `capacity` words.
 
-    A document over the capacity is cut into pieces of it, numbered from 0, and a rest; full pieces have a bin alone. No bin
-    holds two rows of one duplicate cluster (equal texts, or the column `cluster` if docs has it; so no two pieces of a
-    document) nor two of one source slot. Null and empty texts have no words: one piece of size 0, which fits any bin that it
-    has no conflict with. A null source is a source; null doc_ids and repeated rows pack as other rows do. Pieces are dealt
-    evenly to tasks by hash and never by key, so hot sources and clusters are spread; bins are within a task, largest pieces
-    first, ties by doc_id. The texts themselves aren't shuffled. Reruns agree.
+    A document over the capacity, of any length, is cut into pieces of it, numbered from 0, and a rest; full pieces have a bin
+    alone. No bin holds two rows of one duplicate cluster (equal texts, or the column `cluster` if docs has it; so no two
+    pieces of a document) nor two of one source slot; a source has `source_slots` slots, or where that is None as many as follow from its
+    share of all pieces. Null and empty texts
+    have no words: one piece of size 0, which any bin with a word left takes that it has no conflict with. A null source is a
+    source, null doc_ids pack as others. Repeated rows are counted first and dealt copy by copy. Pieces, not documents, are
+    counted for the number of tasks and dealt evenly by hash, never by key, so hot sources, clusters and repeated rows are
+    spread; bins are within a task, largest pieces first, ties by doc_id. The texts themselves aren't shuffled. Reruns agree.
+    No rows give no rows; other columns are ignored.
     """
     cluster = F.xxhash64("cluster") if "cluster" in docs.columns else F.xxhash64("text", F.octet_length("text"))
     sized = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), cluster.alias("cluster"), word_count(F.col("text")).alias("words"))
-    cut_up = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity)))))
+    rows = cut(sized.groupBy(*sized.columns).agg(F.count("*").alias("times")))
+    last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity))
+    by = cut(rows.groupBy("source").agg(F.sum(F.col("times") * (last + 1)).alias("pieces"), F.sum(F.col("times") * F.col("words")).alias("held")))
+    total = by.agg(F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("held"), F.lit(0)).alias("words")).first()
+    tasks = max(1, -(-total["pieces"] // per_task))
+    alike = capacity / max(1, total["words"])  # of a source's pieces, so many would be in a bin
+    follow = F.greatest(F.lit(SOURCE_SLOTS), F.least(F.lit(capacity), F.ceil(F.col("pieces") * (ROOM * alike)))) if source_slots is None else F.lit(source_slots)
+    slots = by.select("source", follow.cast("int").alias("slots"))
+    pieces = copied(rows.join(few(slots, BROADCAST_SOURCES), "source"), "times", "copy").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     size = F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece") * capacity)
-    key = [F.col("doc_id"), F.col("cluster"), F.col("piece")]
-    slot = F.xxhash64("source", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(source_slots)))
-    tasks = max(1, -(-docs.count() // per_task))
-    dealt = cut_up.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", size.alias("size"), "cluster", slot.alias("source_slot"), F.pmod(F.xxhash64(F.lit(2), *key), F.lit(tasks)).cast("int").alias("task"))
+    slot = F.xxhash64("source", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.col("slots")))
+    task = F.pmod(F.xxhash64(F.lit(2), "doc_id", "cluster", "copy", "piece"), F.lit(tasks)).cast("int")
+    dealt = pieces.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", size.alias("size"), "cluster", slot.alias("source_slot"), task.alias("task"))
     kind = dict(docs.dtypes)["doc_id"]
     packed = dealt.groupBy("task").applyInPandas(_task(capacity), "doc_id string, piece long, size long, bin long, start long")  # as text, ids beside nulls stay exact
     return packed.withColumn("doc_id", F.col("doc_id").cast(kind))
