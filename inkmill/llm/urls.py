@@ -15,14 +15,14 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: The listing of the registered query: canonical URLs of the pages on these hosts.
-LISTED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+#: The listing of the registered query has the canonical URLs whose md5 begins with one of these, in another spelling.
+LISTED = ("0", "3", "6", "9", "c")
 #: Query parameters that don't name a page.
 TRACKING = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 #: A block is eight words of 32 bits, one bit set in each; odd multipliers choose the bits. Fixed values.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
-#: Listed URLs per block (21 bits each), and the most blocks: 2^17 blocks of about 80 bytes are 10 MB, which are broadcast.
-PER_BLOCK, MOST_BLOCKS = 12, 1 << 17
+#: Listed URLs per block (21 bits each). Up to so many blocks of about 80 bytes (10 MB) are broadcast; more are met by a shuffle.
+PER_BLOCK, BROADCAST_BLOCKS = 12, 1 << 17
 
 
 def host_of(url: Column) -> Column:
@@ -78,36 +78,53 @@ def blocked_bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def filter_urls(pages: DataFrame, listing: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
-    A rule decides where one fits. Else the page is blocked if its canonical URL is in `listing` (column url), and gets
-    `otherwise` if not. The filter's size follows the listing up to a bound and is broadcast; its possible hits alone go to
-    the join, whose keys are the whole canonical URLs, so false positives don't matter and none is missed. Listed URLs are
-    made distinct first, by partial aggregation. Null urls, and those without ://, have an empty host and path, and are never
-    listed. Repeated rows are judged alike; other columns are ignored.
+    A rule decides where one fits; two rules of one length that both fit go by order of host and path. Else the page is
+    blocked if its canonical URL is in `listing` (column url), and gets `otherwise` if not. The filter's blocks follow the
+    listing without a bound, so it never fills up; they are broadcast up to BROADCAST_BLOCKS and beyond met by an equi-join
+    on the block. Possible hits alone go to the exact join, whose keys are the whole canonical URLs, so false positives don't
+    matter and none is missed. Listed URLs are made distinct first, by partial aggregation. Null urls, and those without
+    ://, have an empty host and path, and are never listed. Repeated rows are judged alike; an empty listing lists nothing,
+    no rows give no rows; other columns are ignored.
     """
     keys = cut(listing.select(canonical(F.col("url")).alias("key")).filter("key <> ''").distinct())
-    blocks = min(MOST_BLOCKS, max(1, -(-keys.count() // PER_BLOCK)))
-    bloom = F.broadcast(blocked_bloom(keys, blocks))
+    blocks = max(1, -(-keys.count() // PER_BLOCK))
+    bloom = blocked_bloom(keys, blocks)
+    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("_by_rule", verdict)
     judged = judged.withColumn("_key", F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical(F.col("url"))))
     h = F.xxhash64("_key")
-    probe = judged.withColumn("_block", F.when(F.col("_key").isNotNull(), F.pmod(F.shiftright(h, 32), F.lit(blocks)).cast("int")))
-    met = probe.join(bloom, probe["_block"] == bloom["block"], "left")
+    block = F.pmod(F.shiftright(h, 32), F.lit(blocks)).cast("int")
+    nowhere = -1 - F.pmod(F.xxhash64("page_id"), F.lit(1 << 16)).cast("int")  # rows that need no look are spread over blocks that don't exist
+    tested = judged.withColumn("_block", F.when(F.col("_key").isNotNull(), block).otherwise(nowhere))
+    met = tested.join(bloom, tested["_block"] == bloom["block"], "left")
     every = F.lit(True)
     for i, bit in enumerate(_bits(h)):
         every = every & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    tested = met.withColumn("_maybe", F.coalesce(every, F.lit(False))).select("page_id", "host", "path", "rule", "_by_rule", "_key", "_maybe")
+    maybe = met.withColumn("_maybe", F.coalesce(every, F.lit(False)))
     columns = ["page_id", "host", "path", "rule"]
-    clear = tested.filter(~F.col("_maybe")).select(*columns, F.coalesce("_by_rule", F.lit(otherwise)).alias("verdict"))
-    hits = tested.filter("_maybe").join(keys.withColumnRenamed("key", "_listed"), F.col("_key") == F.col("_listed"), "left")
+    clear = maybe.filter(~F.col("_maybe")).select(*columns, F.coalesce("_by_rule", F.lit(otherwise)).alias("verdict"))
+    hits = maybe.filter("_maybe").select(*columns, "_key").join(keys.withColumnRenamed("key", "_listed"), F.col("_key") == F.col("_listed"), "left")
     return clear.unionByName(hits.select(*columns, F.when(F.col("_listed").isNotNull(), F.lit("block")).otherwise(F.lit(otherwise)).alias("verdict")))
 
 
+def listing_of(pages: DataFrame) -> DataFrame:
+    """A listing that grows with the pages and divides every host: URLs of some canonical forms, spelled in another way, and near misses of the others.
+
+    The choice goes by the md5 of the canonical URL, so it depends on no host. A near miss is the canonical URL with one more
+    character; it fills the filter but must not block.
+    """
+    key = canonical(F.col("url"))
+    bare, query = F.substring_index(key, "?", 1), F.when(F.instr(key, "?") > 0, F.substr(key, F.instr(key, "?") + 1))
+    spelled = F.concat(F.lit("https://www."), bare, F.when(F.contains(bare, F.lit("/")), F.lit(".html")).otherwise(""), F.lit("?utm_source=list"), F.coalesce(F.concat(F.lit("&"), query), F.lit("")), F.lit("#top"))
+    other = F.concat(F.lit("http://"), bare, F.lit("~"), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
+    return pages.filter(key != "").select(F.when(F.substring(F.md5(key), 1, 1).isin(*LISTED), spelled).otherwise(other).alias("url"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listing = pages.filter(F.regexp_replace(host_of(F.col("url")), r"^(www|m|blog)\.", "").isin(*LISTED_HOSTS))
-    return filter_urls(pages, listing)
+    return filter_urls(pages, listing_of(pages))
 
 
 ORACLE = r"""
@@ -129,12 +146,11 @@ WITH parts AS (
     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
          string_split(regexp_extract(regexp_extract(url, '^[^#]*'), '\?(.*)$', 1), '&'),
          lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))), '&'), ''), '')
-  END AS key,
-  regexp_replace(host, '^(www|m|blog)\.', '') IN ('ads-track.example.com', 'adult-x.example.com', 'casino-win.example.net', 'cheap-pills.example.net', 'free-bets.example.net', 'spam-farm.example.org') AS listed
+  END AS key
   FROM parts
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN key <> '' AND key IN (SELECT key FROM ruled WHERE listed) THEN 'block' ELSE 'allow' END AS verdict
+       WHEN key <> '' AND substr(md5(key), 1, 1) IN ('0', '3', '6', '9', 'c') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
