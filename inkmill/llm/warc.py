@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .common import cut, new_path, read
+from .common import cut, drop_path, new_path, read
 
 #: Payloads of at least so many bytes are stored once.
 SHARED_BYTES = 100
 #: Date of all records written, so that reruns write the same bytes.
 DATE = "1970-01-01T00:00:00Z"
-#: Records of an archive file; a task reads a file at a time.
-FILE_RECORDS = 500
+#: Pages of over LONG bytes are written apart. A file holds so many of the others, and so many bytes of long ones, or one page;
+#: so a file, which a task reads at a time, has 128 MB at most, or one page.
+LONG, FILE_RECORDS, FILE_BYTES = 1 << 15, 4_000, 1 << 27
+#: In front of one record in so many (by a hash of page_id) the query's archives have a torn copy, as a writer leaves it that was stopped.
+TORN = 64
 #: Up to so many revisits (under 150 bytes each) are broadcast to the pages; beyond it they join by a shuffle of the pages.
 BROADCAST_REVISITS = 50_000
 #: Bytes of a member that are decompressed at a time.
@@ -81,6 +84,8 @@ def parse_record(data: bytes, at: int) -> Record:
     headers: dict[str, str] = {}
     pos = version.end()
     while m := _HEADER.match(data, pos):
+        if b"WARC/" in m[2] and _VERSION.search(data, m.start(2), m.end()):
+            raise Bad("torn header")  # the next record's version line ends it
         headers.setdefault(m[1].decode("ascii").lower(), m[2].decode("utf-8", "replace").strip())
         pos = m.end()
     blank = 2 if data[pos : pos + 2] == b"\r\n" else 1 if data[pos : pos + 1] == b"\n" else 0
@@ -125,11 +130,22 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join([*out, reader.flush()]), at, "truncated member"
 
 
-def _next(data: bytes, at: int, plain: int, members: bool) -> int:
-    """The next place where a gzip member, or from `plain` on a version line, may start, or the end."""
-    version = _VERSION.search(data, max(at, plain))
-    member = data.find(_GZIP, at) if members else -1
-    return min(version.start() if version else len(data), member if member >= 0 else len(data))
+class _Marks:
+    """Where the next version line and the next gzip member may start. Each is searched once for each place found, so that all searches together read the bytes once."""
+
+    def __init__(self, data: bytes, members: bool):
+        self.data, self.members = data, members
+        self.line = self.member = -1
+
+    def next(self, at: int, plain: int) -> int:
+        """The next mark at `at` or later, of a version line only from `plain` on; or the end."""
+        if self.line < max(at, plain):
+            found = _VERSION.search(self.data, max(at, plain))
+            self.line = found.start() if found else len(self.data)
+        if self.member < at:
+            place = self.data.find(_GZIP, at) if self.members else -1
+            self.member = place if place >= 0 else len(self.data)
+        return min(self.line, self.member)
 
 
 def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
@@ -141,6 +157,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
     way; its bytes are a gap as well, and are searched for the start of a further member, but not for plain records again.
     """
     at, plain_from, gap, reason = 0, 0, None, ""
+    marks = _Marks(data, members)
     while at < len(data):
         got: list[Record | Gap] = []
         failed = ""
@@ -170,7 +187,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
         if failed:
             gap, reason = (at, failed) if gap is None else (gap, reason)
             plain_from = max(plain_from, after)
-            at = _next(data, at + 1, plain_from, members)
+            at = marks.next(at + 1, plain_from)
             continue
         if gap is not None:  # an empty member
             yield Gap(gap, at, reason)
@@ -217,42 +234,60 @@ def records(pages: DataFrame) -> DataFrame:
     return marked.select("page_id", kind.alias("record_type"), "refers_to", "payload_bytes", "payload_digest", F.concat(head, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, torn: int = 0) -> None:
     """Write the pages' records as plain WARC files under path, in whatever store Spark writes to.
 
     Spark's text writer puts its line separator after each row; as the end mark of a record, it makes the file a WARC. The
-    html isn't shuffled for finding equal payloads: digests and ids are. maxRecordsPerFile bounds the files of a task; the
-    reader holds one file at a time.
+    html isn't shuffled for finding equal payloads: digests and ids are. maxRecordsPerFile bounds the files of a task; pages
+    of over LONG bytes, of any length, have files of their own, so many to one as fit FILE_BYTES. With `torn`, one record in
+    so many follows a torn copy of itself, its first half: damage for the reader to pass by.
     """
-    out = records(pages).select("record")
-    out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).option("compression", "none").text(path)
+    made = records(pages)
+    text = F.col("record")
+    if torn:
+        half = F.substr("record", F.lit(1), (F.length("record") / 2).cast("int"))
+        text = F.when(F.pmod(F.xxhash64("page_id"), F.lit(torn)) == 0, F.concat(half, text)).otherwise(text)
+    out = made.select(text.alias("record"), "payload_bytes")
+    longest = pages.agg(F.max(F.octet_length("html")).alias("n")).first()["n"] or 0
+
+    def write(part: DataFrame, name: str, most: int) -> None:
+        part.select("record").write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).option("compression", "none").text(f"{path}/{name}")
 
+    write(out.filter(F.col("payload_bytes") <= LONG), "short", file_records)
+    if longest > LONG:
+        write(out.filter(F.col("payload_bytes") > LONG), "long", max(1, min(file_records, FILE_BYTES // (2 * longest))))
 
-def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of all archives under path. Gaps are the quarantine log: file, start, end, reason."""
+
+def read_archives(spark: SparkSession, path: str, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of all archives under path, one pass for both. Gaps are the quarantine log: file, start, end, reason.
+
+    The pass is written to the path `keep`, or to a new one in the shared folder, records and log beside each other, so both
+    outlive the archives and are read as often as one likes. An archive is one cell while it is read, which Spark bounds at
+    2 GB; larger ones are to be cut before.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    names = ["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "start", "end", "reason"]
 
-    def good(batches):
+    def run(batches):
         for pdf in batches:
-            for content in pdf["content"]:
+            for path, content in zip(pdf["path"], pdf["content"]):
                 rows = []
                 for r in salvage(content):
-                    if isinstance(r, Record):
-                        again = r.headers.get("warc-type") == "revisit"
-                        length = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", r.block.partition(END)[0])
-                        rows.append((_id(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), int(length[1]) if again and length else len(r.payload), r.headers.get("warc-payload-digest", "").removeprefix("sha256:").lower() if again else hashlib.sha256(r.payload).hexdigest(), r.headers.get("warc-type"), _id(r.headers.get("warc-refers-to"))))
-                yield pd.DataFrame(rows, columns=["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    def bad(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = [(path, g.start, g.end, g.reason) for g in salvage(content) if isinstance(g, Gap)]
-                yield pd.DataFrame(rows, columns=["file", "start", "end", "reason"])
-
-    return (
-        files.mapInPandas(good, "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"),
-        files.mapInPandas(bad, "file string, start long, end long, reason string"),
-    )
+                    if isinstance(r, Gap):
+                        rows.append((None,) * 6 + (path, r.start, r.end, r.reason))
+                        continue
+                    again = r.headers.get("warc-type") == "revisit"
+                    length = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", r.block.partition(END)[0])
+                    size = int(length[1]) if again and length else len(r.payload)
+                    digest = r.headers.get("warc-payload-digest", "").removeprefix("sha256:").lower() if again else hashlib.sha256(r.payload).hexdigest()
+                    rows.append((_id(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), size, digest, r.headers.get("warc-type", ""), _id(r.headers.get("warc-refers-to")), None, None, None, None))
+                yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("page_id", "payload_bytes", "refers_to", "start", "end"), "Int64"))
+
+    kind = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long, end long, reason string"
+    keep = keep or new_path(spark, "salvaged")
+    files.mapInPandas(run, kind).withColumn("part", F.when(F.col("reason").isNull(), "records").otherwise("quarantine")).write.partitionBy("part").parquet(keep)
+    back = spark.read.schema(kind + ", part string").parquet(keep)
+    return back.filter("part = 'records'").select(*names[:6]), back.filter("part = 'quarantine'").select(*names[6:])
 
 
 def _id(value: str | None) -> int | None:
@@ -260,21 +295,24 @@ def _id(value: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back.
+def round_trip(pages: DataFrame, torn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine log): write the pages to archives in the shared folder, read them back, delete the archives.
 
     Null html is an empty payload; null urls have no target line; a null page_id comes back as null, and is a response since
-    it isn't the smallest but refers to nothing. Rows that share page_id and payload are all responses. Extra columns are
-    ignored, no rows give no rows.
+    it isn't the smallest but refers to nothing. Rows that share page_id and payload are all responses. Payloads of any length
+    that a cell can hold pass. Extra columns are ignored, no rows give no rows. With `torn` the archives are damaged in places
+    (write_archives); the records are all the same, and the damage is in the log.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages, path)
-    return read_archives(spark, path)[0]
+    write_archives(pages, path, torn=torn)
+    out = read_archives(spark, path)
+    drop_path(spark, path)
+    return out
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = round_trip(read(spark, sf_dir, "pages"))
+    back, _ = round_trip(read(spark, sf_dir, "pages"), TORN)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
