@@ -21,7 +21,7 @@ from .common import read
 SAMPLE = 3_000
 #: Features of tokens: the whole word, and beginnings of so many letters.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Features that are weighed before some are chosen.
+#: Features that are weighed before some are chosen: at most so many, those that mark toxic documents best; they are what a model may know.
 CANDIDATES = 1_500
 #: Training documents of like length are padded to one; so many cells at most, or one document.
 CELLS = 1 << 18
@@ -159,33 +159,34 @@ class Batch:
         self.moves = moves.sum(axis=0)
 
     def forward(self, chain: Chain) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood, and for `expected` the matrices of all steps, the last gaps and the forward vectors."""
         gap = chain.gaps(self.gap)
-        emit = np.stack([np.ones(self.word.shape), np.exp(chain.bias + (self.of @ chain.weights)[self.word])], axis=2)
+        scores = (self.of @ chain.weights)[self.word]
+        steps = gap[:, : self.width] @ chain.step
+        steps[..., 1] *= np.exp(chain.bias + scores)[..., None]
+        steps[~self.real] = np.eye(2)
         v = np.tile([1.0, 0.0], (len(self.n), 1))
-        log = (self.n - self.real.sum(axis=1)) * np.log(chain.top)
+        totals = np.ones(self.word.shape)
         front = np.zeros((*self.word.shape, 2))
         for t in range(self.width):
-            new = (np.einsum("da,dab->db", v, gap[:, t]) @ chain.step) * emit[:, t]
-            new = np.where(self.real[:, t, None], new, v)
-            total = new.sum(axis=1)
-            log += np.log(total)
-            v = new / total[:, None]
+            v = np.matmul(v[:, None, :], steps[:, t])[:, 0]
+            totals[:, t] = total = v.sum(axis=1)
+            v = v / total[:, None]
             front[:, t] = v
-        last = np.take_along_axis(gap, self.real.sum(axis=1)[:, None, None, None], axis=1)[:, 0]
-        log += np.log(np.einsum("da,dab->d", v, last))
-        m = self.tagged.sum()
-        score = (self.of @ chain.weights)[self.word][self.tagged].sum() + chain.bias * m + self.moves @ np.array([chain.move[0, 1], chain.move[1, 0], chain.move[1, 1]])
-        return float(score - log.sum()), gap, emit, front
+        last = np.take_along_axis(gap, self.real.sum(axis=1)[:, None, None, None], axis=1)[:, 0].sum(axis=2)
+        log = (self.n - self.real.sum(axis=1)) * np.log(chain.top) + np.log(totals).sum(axis=1) + np.log((v * last).sum(axis=1))
+        score = scores[self.tagged].sum() + chain.bias * self.tagged.sum() + self.moves @ np.array([chain.move[0, 1], chain.move[1, 0], chain.move[1, 1]])
+        return float(score - log.sum()), steps, last, front
 
-    def expected(self, chain: Chain, gap, emit, front) -> np.ndarray:
+    def expected(self, steps: np.ndarray, last: np.ndarray, front: np.ndarray) -> np.ndarray:
         """Toxic marginals of the known tokens."""
         out = np.zeros(self.word.shape)
-        back = np.einsum("dab->da", np.take_along_axis(gap, self.real.sum(axis=1)[:, None, None, None], axis=1)[:, 0])
+        back = last
         for t in range(self.width - 1, -1, -1):
             both = front[:, t] * back
             out[:, t] = both[:, 1] / both.sum(axis=1)
-            new = np.einsum("dab,db->da", gap[:, t], (emit[:, t] * back) @ chain.step.T)
-            back = np.where(self.real[:, t, None], new / new.sum(axis=1, keepdims=True), back)
+            back = np.matmul(steps[:, t], back[:, :, None])[..., 0]
+            back = back / back.sum(axis=1, keepdims=True)
         return np.where(self.real, out, 0.0)
 
 
@@ -199,30 +200,39 @@ def batches(docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], featu
     return [Batch(b, features) for b in out]
 
 
+def chain_of(x: np.ndarray, features: int) -> Chain:
+    """The chain of a vector of parameters: weights, three moves, bias."""
+    return Chain(x[:features], np.array([[0.0, x[-4]], [x[-3], x[-2]]]), x[-1])
+
+
+def slope(parts: list[Batch], x: np.ndarray, features: int) -> np.ndarray:
+    """The gradient of the log-likelihood of all batches."""
+    now = chain_of(x, features)
+    grad = np.zeros_like(x)
+    for batch in parts:
+        value, steps, last, front = batch.forward(now)
+        by_kind = np.bincount(batch.word[batch.real], (batch.tagged - batch.expected(steps, last, front))[batch.real], len(batch.of))
+        grad[:features] += by_kind @ batch.of
+        for k in range(4):  # of the few that all gaps depend on, by a difference
+            moved = x.copy()
+            moved[features + k] += 1e-4
+            grad[features + k] += (batch.forward(chain_of(moved, features))[0] - value) / 1e-4
+    return grad
+
+
 def train(docs: list[tuple[int, list[int], list[tuple[int, ...]], int]], features: int, rounds: int = 40, ridge: float = 0.05) -> Chain:
     """Maximum penalised conditional likelihood by Adam. Known tokens of toxic documents are tagged toxic, all else clean."""
     some = [d for d in docs if d[1]]
     some += [d for d in docs if not d[1]][: max(200, len(some) // 2)]
     parts = batches(some, features)
     x = np.concatenate([np.zeros(features), [-2.0, 1.0, -1.0, -4.0]])
-    chain = lambda x: Chain(x[:features], np.array([[0.0, x[-4]], [x[-3], x[-2]]]), x[-1])
     first, second = np.zeros_like(x), np.zeros_like(x)
     for r in range(1, rounds + 1):
-        now = chain(x)
-        grad = np.zeros_like(x)
-        for batch in parts:
-            value, gap, emit, front = batch.forward(now)
-            by_kind = np.bincount(batch.word[batch.real], (batch.tagged - batch.expected(now, gap, emit, front))[batch.real], len(batch.of))
-            grad[:features] += by_kind @ batch.of
-            for k in range(4):  # of the few that all gaps depend on, by a difference
-                moved = x.copy()
-                moved[features + k] += 1e-4
-                grad[features + k] += (batch.forward(chain(moved))[0] - value) / 1e-4
-        grad = grad / len(some) - ridge / len(some) * x
+        grad = slope(parts, x, features) / len(some) - ridge / len(some) * x
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         x = x + 0.4 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
         x[-4:] = np.clip(x[-4:], -12, 4)
-    return chain(x)
+    return chain_of(x, features)
 
 
 def shape(n: int, marginals: np.ndarray) -> tuple[float, float, float]:
@@ -311,8 +321,13 @@ def choose(docs: list[set[str]], toxic: list[bool]) -> list[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from a bounded sample of the labelled documents that aren't held out; without both classes it scores alike."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> Model:
+    """A model from a bounded sample of the labelled documents that aren't held out; without both classes it scores alike.
+
+    Of each class at most `sample` documents are learned from, the first by a hash of doc_id, in all their tokens; the model
+    knows at most `candidates` features, those whose rates in the two classes differ most. Labels with a null doc_id or null
+    toxic are left out; of repeated labels the highest counts; repeated rows of a document are learned from as often.
+    """
     rows = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("_h", F.xxhash64("doc_id"))
     drawn = [rows.filter(F.col("toxic") == y).orderBy("_h").limit(sample).select("doc_id", "toxic") for y in (0, 1)]
@@ -332,9 +347,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     clean, bad = sizes.get(0, 0), sizes.get(1, 0)
     margin = F.col("t") * max(1, clean) - 2 * F.col("c") * max(1, bad)  # by rates of the classes
-    likely = summed.filter((F.col("t") >= 3) & (margin > 0)).orderBy(margin.desc(), "feature").limit(4 * CANDIDATES).toPandas()
+    likely = summed.filter((F.col("t") >= 3) & (margin > 0)).orderBy(margin.desc(), "feature").limit(4 * candidates).toPandas()
     least = max(3, round(0.005 * bad))
-    precise = [f for f, c, t in zip(likely["feature"], likely["c"], likely["t"]) if t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (clean + 1)][:CANDIDATES]
+    precise = [f for f, c, t in zip(likely["feature"], likely["c"], likely["t"]) if t >= least and (t + 0.5) / (bad + 1) >= 9 * (c + 0.5) / (clean + 1)][:candidates]
     index = {f: i for i, f in enumerate(precise)}
 
     def places(batches):
@@ -362,8 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and spans (start, end, marginal; in characters) added, each whole text in one pass.
 
-    Null and empty texts have no tokens and get the score of a text without known tokens, no spans. Other columns pass
-    by Python untouched; own columns called score or spans are replaced. No shuffle; the model's size is bounded.
+    Null and empty texts have no tokens and get the score of a text without known tokens, no spans. Long texts are read in
+    pieces, as one chain. Repeated rows and equal texts score alike, ids don't matter; no rows give no rows. Other columns
+    pass by Python untouched; own columns called score or spans are replaced. No shuffle; the model's size is bounded.
     """
     span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("marginal", DoubleType())])
     result = StructType([StructField("score", DoubleType()), StructField("spans", ArrayType(span))])

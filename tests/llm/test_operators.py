@@ -355,6 +355,48 @@ def test_all_known_tokens_are_learned_from(spark, monkeypatch):
     assert any("brutish".startswith(f[1:]) for f in model.index)
 
 
+def test_the_learned_gradient_is_that_of_the_likelihood(monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = []
+    for i in range(12):
+        n = int(rng.integers(1, 30))
+        at = sorted(rng.choice(n, size=rng.integers(0, min(n, 6) + 1), replace=False).tolist())
+        docs.append((n, at, [tuple(sorted(rng.choice(3, size=rng.integers(1, 3), replace=False).tolist())) for _ in at], i % 2))
+    monkeypatch.setattr(toxicity, "CELLS", 20)
+    parts = toxicity.batches(docs, 3)
+    assert len(parts) > 2
+    for _ in range(5):
+        x = rng.normal(size=7) * 0.7
+        likelihood = lambda x: sum(b.forward(toxicity.chain_of(x, 3))[0] for b in parts)
+        numeric = [(likelihood(x + d) - likelihood(x - d)) / 2e-5 for d in np.eye(7) * 1e-5]
+        got = toxicity.slope(parts, x, 3)
+        assert np.allclose(got[:3], numeric[:3], atol=1e-5)  # of the weights, by marginals
+        assert np.allclose(got[3:], numeric[3:], rtol=1e-3, atol=1e-2)  # of moves and bias, by one-sided differences of 1e-4
+
+
+def test_a_long_document_is_learned_from_to_its_end(spark):
+    """10,000 known tokens in one text: the fit sees them all, and they decide the score as they do in inference."""
+    rng = random.Random(1)
+    rows, labels = toxic_corpus()
+    ids = [i for i, _, y in labels if not y or zlib.crc32(str(i).encode()) % 4 != 2]
+    long = next(i for i, _, y in labels if y and i in ids)
+    rows = [(i, " ".join(rng.choice(["idiote", "plain"]) for _ in range(20_000)) + " moronic" if i == long else t, s) for i, t, s in rows]
+    seen = {}
+    original = toxicity.train
+
+    def spy(docs, features, **kw):
+        seen["most"] = max(len(d[1]) for d in docs)
+        return original(docs, features, **kw)
+
+    toxicity.train = spy
+    try:
+        model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    finally:
+        toxicity.train = original
+    text = dict((i, t) for i, t, _ in rows)[long]
+    assert seen["most"] == len(toxicity.active(text, model.known)[1]) > 9_000 and model.score(text) > 0.9
+
+
 def test_pieces_cut_nothing():
     text = ("abc déf " * 100) + "x" * 50
     old, toxicity.PIECE = toxicity.PIECE, 64
@@ -369,6 +411,15 @@ def test_pieces_cut_nothing():
 # --- 5 ---
 
 
+def test_lines_of_long_texts(spark):
+    long = "\n".join(f"line {i}" for i in range(60_000))
+    rows = [(i, long if i == 0 else f"line {i * 7}\nown {i}\nshared by five", f"s{i}") for i in range(5)]
+    rows.append((5, "own 5\nshared by five", "s5"))
+    out = {r.doc_id: r for r in lines.strip_shared_lines(docs_of(spark, rows + [(9, "x" * 3_000_000, "s")])).collect()}
+    assert out[0].n_lines == 60_000 and out[0].text == long and out[9].text == "x" * 3_000_000
+    assert [out[i].text for i in range(1, 5)] == ["line 7\nown 1\nshared by five"] + [f"line {i * 7}\nown {i}" for i in (2, 3, 4)]
+
+
 def test_shared_lines_go_from_all_but_the_first(spark, none):
     rng = random.Random(4)
     pool = [f"common line {i}" for i in range(30)]
@@ -486,6 +537,64 @@ def test_forest_scores_and_threshold():
     assert quality.calibrate(np.zeros(0), np.zeros(0, dtype=bool)) == 1.0
 
 
+def test_forest_against_a_walk_row_by_row():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, size=(400, 4)).astype(float)
+    forest = quality.Forest(x, trees=30, size=64)
+
+    def path(tree, row):
+        feature, cut, left, right, length = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] < cut[at] else right[at]
+        return length[at]
+
+    def expected(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (sum(1 / k for k in range(1, n))) - 2 * (n - 1) / n
+
+    mean = [np.mean([path(t, row) for t in forest.trees]) for row in x[:60]]
+    assert np.allclose(forest.score(x[:60]), [2 ** (-m / quality.Forest.expected(64)) for m in mean])
+    assert all(abs(quality.Forest.expected(n) - expected(n)) < 1.1 / (n - 1) for n in range(3, 300))  # the logarithm stands for the sum
+    for feature, cut, left, right, length in forest.trees:  # every leaf holds its depth and what its rows would still take
+        stack = [(0, 0, x)]
+        depths = []
+        while stack:
+            at, depth, rows = stack.pop()
+            if feature[at] >= 0:
+                goes = rows[:, feature[at]] < cut[at]
+                stack += [(left[at], depth + 1, rows[goes]), (right[at], depth + 1, rows[~goes])]
+            else:
+                depths.append((depth, length[at]))
+        assert all(d <= leaf for d, leaf in depths) and max(d for d, _ in depths) <= 6
+
+
+def test_threshold_against_all_thresholds():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        scores = np.round(rng.random(300), 2)
+        good = rng.random(300) < 0.9
+        scores[~good] = np.minimum(1.0, scores[~good] + 0.3)
+        got = quality.calibrate(scores, good, keep=0.9)
+        floor = np.quantile(scores[good], 0.9, method="higher")
+        gain = {t: np.mean(scores[~good] > t) + np.mean(scores[good] <= t) for t in [floor, *scores[scores >= floor]]}
+        assert gain[got] == max(gain.values()) and np.mean(scores[good] <= got) >= 0.9
+
+
+GIVEN = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="needs the tables")
+def test_quality_of_rows_that_were_not_fitted(spark):
+    """Fitted on three quarters of the labels of the given table, judged on the others."""
+    docs, labels = spark.read.parquet(f"{GIVEN}/documents.parquet"), spark.read.parquet(f"{GIVEN}/labels.parquet")
+    held = toxicity.held_out(F.col("doc_id"))
+    judged = quality.judge(common.spread(docs), labels.filter(~held)).filter("not base_failed").select("doc_id", "kept")
+    found = judged.join(labels.filter(held & F.col("quality").isNotNull()), "doc_id").groupBy("quality", "kept").count().collect()
+    n = Counter({(r.quality, r.kept): r["count"] for r in found})
+    assert n[0, True] + n[0, False] > 50 and n[0, False] >= 0.95 * (n[0, True] + n[0, False])
+    assert n[1, True] + n[1, False] > 700 and n[1, True] >= 0.99 * (n[1, True] + n[1, False])
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, edges, none):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
