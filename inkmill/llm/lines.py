@@ -20,14 +20,16 @@ BAND, SLACK = 0.1, 1.0
 BROADCAST_LINES = 100_000
 #: Columns that are made on the way.
 MADE = ("n_lines", "n_removed", "_text", "_k1", "_k2", "_drop")
+#: What names a line: 128 bits of hash, so that no two lines of a corpus are taken for one.
+NAME = ["line", "line2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, at, line, site) for every line that isn't blank. k1 and k2 name the document, line is its hash."""
+    """(k1, k2, at, line, line2, site) for every line that isn't blank. k1 and k2 name the document, line and line2 the line."""
     cut_up = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.coalesce("source", F.lit("")).alias("site"), F.split("text", "\n").alias("_lines"))
     exploded = cut_up.select("k1", "k2", "site", F.posexplode("_lines").alias("at", "_line"))  # the text itself isn't copied to its lines
     bare = exploded.withColumn("_bare", F.trim("_line", F.lit(" \t\x0b\x0c\r"))).filter("_bare <> ''")
-    return bare.select("k1", "k2", "at", F.xxhash64("_bare").alias("line"), "site")
+    return bare.select("k1", "k2", "at", F.xxhash64("_bare").alias("line"), F.xxhash64(F.lit(1), "_bare", F.octet_length("_bare")).alias("line2"), "site")
 
 
 @pandas_udf(StringType())
@@ -49,20 +51,20 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """(line, holder1, holder2) of the lines on at least `sites` distinct sites; the holder is the first document with it.
+    """(line, line2, holder1, holder2) of the lines on at least `sites` distinct sites; the holder is the first document with it.
 
     Sketches of each line merge by partial aggregation, so a line in a third of all documents arrives as a sketch a task.
     Estimates clear of the threshold decide; the others are counted exactly, by a distinct (line, site) before the count.
     """
     first = F.min(F.struct("k1", "k2")).alias("holder")
-    sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("near"), first, F.count("*").alias("_n"))
+    sketched = lines.groupBy(*NAME).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("near"), first, F.count("*").alias("_n"))
     low, high = sites * (1 - BAND) - SLACK, sites * (1 + BAND) + SLACK
     judged = cut(sketched.filter((F.col("_n") >= sites) & (F.col("near") >= low)))
     doubtful = judged.filter(F.col("near") <= high)
-    exact = lines.select("line", "site").join(_few(doubtful.select("line")), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("_sites"))
-    sure = judged.filter(F.col("near") > high).select("line", "holder")
-    near = doubtful.join(exact.filter(F.col("_sites") >= sites), "line").select("line", "holder")
-    return sure.unionByName(near).select("line", F.col("holder.k1").alias("holder1"), F.col("holder.k2").alias("holder2"))
+    exact = lines.select(*NAME, "site").join(_few(doubtful.select(*NAME)), NAME, "left_semi").distinct().groupBy(*NAME).agg(F.count("*").alias("_sites"))
+    sure = judged.filter(F.col("near") > high).select(*NAME, "holder")
+    near = doubtful.join(exact.filter(F.col("_sites") >= sites), NAME).select(*NAME, "holder")
+    return sure.unionByName(near).select(*NAME, F.col("holder.k1").alias("holder1"), F.col("holder.k2").alias("holder2"))
 
 
 def strip_shared_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
@@ -73,13 +75,14 @@ def strip_shared_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
     source; null counts as the site ''. A line on `sites` sites or more stays in its first document (smallest doc_id, nulls
     first, then text hash) and goes from all others, so content that is shared whole survives once. All rows stay: a null
     text stays null with no lines, an empty one has one blank line, a document of boilerplate alone becomes ''. Repeated rows
-    of one doc_id and text are one document. Hot lines join as skewed joins do; only positions of removed lines travel with
+    of one doc_id and text are one document; no rows give no rows. A text of any length is split by the engine and its lines
+    are hashed one by one; only its own row holds it. Hot lines join as skewed joins do; only positions of removed lines travel with
     the text, once.
     """
     docs = docs.drop(*MADE)
     lines = _lines(docs)
     shared = _few(cut(boilerplate(lines, sites, lg_k)))
-    gone = lines.join(shared, "line").filter(~(F.col("k1").eqNullSafe(F.col("holder1")) & (F.col("k2") == F.col("holder2"))))
+    gone = lines.join(shared, NAME).filter(~(F.col("k1").eqNullSafe(F.col("holder1")) & (F.col("k2") == F.col("holder2"))))
     drop = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("_drop")).withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2")
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     joined = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["_k1"]) & (keyed["_text"] == drop["_k2"]), "left")
