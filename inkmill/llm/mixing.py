@@ -11,7 +11,8 @@ from .common import cut, guarded, read, word_count
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST = 3
-#: Seeds that are tried for each source; the one whose draws come nearest to the target is used.
+#: Seeds that are tried for each source; the one whose draws come nearest to the target is used, the first of equally near ones.
+#: So a source's draw depends on all its documents, and a new one can change which are doubled; with one seed it can't.
 SEEDS = 16
 #: Up to so many sources (about 100 bytes each) the rates are broadcast; beyond it they join by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -78,7 +79,7 @@ def mix(keyed: DataFrame, rates: DataFrame) -> DataFrame:
 
     copies = floor(rate) plus one with probability rate - floor(rate), drawn from a hash of the document and its source's
     seed. Sizes are words; null and empty texts have none and a source of only such texts gets rate 0. Null sources are one
-    source, last in order. Rows with one doc_id share a draw, so repeated rows are taken equally often. Other columns pass
+    source, last in order. A text of any length counts whole and is taken whole; no rows give no rows. Rows with one doc_id share a draw, so repeated rows are taken equally often. Other columns pass
     through unless they bear a name made here, which replaces it. Only per-source sums are shuffled: hot sources are
     aggregated in part before, and the join sends the rates to the documents.
     """
