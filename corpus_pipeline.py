@@ -49,12 +49,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, with the columns of docs.
+
+    Null and empty texts have no words: a source of only such texts is taken not at all, others take them as their other
+    documents. A null source is a source; rows of one doc_id are taken equally often; long texts are taken whole.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is packed: doc_id, piece, size, bin, start."""
+    """Where each piece of each document is packed: doc_id, piece, size, bin, start.
+
+    Null and empty texts are one piece of no words; texts over a bin are cut into pieces. The copies that the mix made are
+    equal texts, so no two share a bin. Null ids and sources, repeated rows and ties pack as packing.pack says.
+    """
     ship(spark)
     return packing.pack(docs)
 
@@ -72,9 +80,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents. A stage's table is deleted when the next one's is written; of a failed run nothing stays."""
     docs = common.read(spark, sf_dir, "documents")
+    path = None
     for name, stage in STAGES:
-        path = common.new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path = path, common.new_path(spark, name)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            common.drop_path(spark, path)
+            raise
+        finally:
+            if before:
+                common.drop_path(spark, before)
         docs = spark.read.parquet(path)
     return docs
