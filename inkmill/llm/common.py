@@ -130,8 +130,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = cut(small.filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    leaf = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaf.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    leaf = state.select(F.col("u").alias("node"), F.col("v").alias("component"))  # of stars, so each node once
+    roots = state.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("component"))  # a hub comes once from each task
+    return leaf.unionByName(roots)
 
 
 def named_by_least(group: DataFrame, nodes: DataFrame) -> DataFrame:
