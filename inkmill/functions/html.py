@@ -242,4 +242,5 @@ def to_markdown(html: str | None, docx: bool = False) -> str:
     tree.feed(html or "")
     tree.close()
     text = _Writer(docx).inside(tree.root)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<! )[ \t]+\n", "\n", text)).strip(BLANKS)
+    text = re.sub(r"(?<=[^ \t\n])  \n|[ \t]+\n", lambda m: m[0] if m[0] == "  \n" else "\n", text)  # two blanks are a line break
+    return re.sub(r"\n{3,}", "\n\n", text).strip(BLANKS)
