@@ -127,22 +127,35 @@ def _tables(lines: list[str]) -> list[str]:
 
 
 def from_pdf_lines(text: str | None) -> str:
-    """CONV-51: headings, lists, tables and flowing paragraphs from a PDF's lines."""
+    """CONV-51: headings, lists, tables and flowing paragraphs from a PDF's lines. A paragraph is joined once, however long it gets."""
     out: list[str] = []
+    flow: list[str] = []  # the parts of the open paragraph
+
+    def close() -> None:
+        if flow:
+            out.append("".join(flow))
+            flow.clear()
+
     for line in map(trim, lines_of(text or "")):
-        if not line:
-            if out and out[-1]:
-                out.append("")
-        elif any(p.match(line) for p in _ARTEFACTS):
+        if line and any(p.match(line) for p in _ARTEFACTS):
             continue
-        elif heading := _heading(line):
-            out += ["", heading, ""]
-        elif item := _item(line):
-            out.append(item)
-        elif out and out[-1] and not out[-1].startswith(("#", "- ", "|", ">")) and not re.match(r"[0-9]+\. ", out[-1]) and not _STOP.search(out[-1]):
-            out[-1] = out[-1][:-1] + line if _HYPHEN.search(out[-1]) else f"{out[-1]} {line}"
-        else:
-            out.append(line)
+        made = [] if not line else ["", heading, ""] if (heading := _heading(line)) else [item] if (item := _item(line)) else None
+        if made is None:
+            if flow and not _STOP.search(flow[-1]):
+                if _HYPHEN.search(flow[-1]):
+                    flow[-1] = flow[-1][:-1]
+                else:
+                    flow.append(" ")
+            else:
+                close()
+            if not flow and (line.startswith(("#", "- ", "|", ">")) or re.match(r"[0-9]+\. ", line)):
+                out.append(line)  # nothing is appended to it
+            else:
+                flow.append(line)
+            continue
+        close()
+        out += made if line else [""] if out and out[-1] else []
+    close()
     return trim(_GAPS.sub("\n\n", "\n".join(_tables(out))))
 
 
