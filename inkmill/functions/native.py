@@ -209,6 +209,11 @@ def content_id(text: Column) -> Column:
     return F.concat(F.lit("doc_"), F.substring(F.sha2(text.cast("binary"), 256), 1, 12))
 
 
+def savings_percentage(saved: Column, before: Column) -> Column:
+    """TOK-13, KB-04: to one place, half up; none of nothing."""
+    return F.when(before > 0, F.round(saved / before * 100, 1)).otherwise(0.0)
+
+
 def context_strategy(total: Column, most: int = 200_000) -> Column:
     """KB-06."""
     return F.when(total <= most, F.lit("full_context")).otherwise(F.lit("rag"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -16,6 +14,8 @@ from pyspark.sql.types import StringType
 from ..functions import native, tokens
 from ..operators import stages
 from ..options import Options
+from ..sources import readers
+from ..sources.readers import fresh, reliable, shared_folder  # noqa: F401
 
 MOST_IN_CONTEXT = 200_000
 #: Lines of the index files.
@@ -247,8 +247,7 @@ def totals(processed: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("total_chunks"),
     )
     saved = F.greatest(F.lit(0), F.col("total_original_tokens") - F.col("total_optimized_tokens"))
-    percent = F.when(F.col("total_original_tokens") > 0, F.round(saved / F.col("total_original_tokens") * 100, 1)).otherwise(0.0)
-    return out.withColumn("tokens_saved", saved).withColumn("savings_percentage", percent)
+    return out.withColumn("tokens_saved", saved).withColumn("savings_percentage", native.savings_percentage(saved, F.col("total_original_tokens")))
 
 
 def build(docs: DataFrame, options: Options = Options()) -> KnowledgeBase:
@@ -294,36 +293,21 @@ def batch_economy(converted: DataFrame) -> DataFrame:
     """KB-12: tokens before (bodies) and after (final Markdown) over the documents that were converted."""
     out = converted.agg(F.sum("savings.original_tokens").alias("original_tokens"), F.sum("stats.tokens").alias("optimized_tokens"))
     saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("optimized_tokens"))
-    return out.withColumn("tokens_saved", saved).withColumn("savings_percentage", F.when(F.col("original_tokens") > 0, F.round(saved / F.col("original_tokens") * 100, 1)).otherwise(0.0))
+    return out.withColumn("tokens_saved", saved).withColumn("savings_percentage", native.savings_percentage(saved, F.col("original_tokens")))
 
 
 def ranked(blocks: DataFrame) -> DataFrame:
     """(number, line) from (ord, line) or (ord, before, block): numbers from 1 in order of ord, put between before and block.
 
-    The order is cut into ranges by ord; a range's first number comes from the counts before it, so no task holds all rows.
+    The places are found from ord alone, by ranges of equally many rows (readers.placed): any values of ord will do, no task
+    holds all rows, and the texts move only where there are too many places to broadcast.
     """
-    apart = "block" in blocks.columns
-    sliced = blocks.select("ord", F.col("block" if apart else "line").alias("_t"), (F.col("before") if apart else F.lit("")).alias("_b"), F.floor(F.col("ord") / 10_000).alias("_range"))
-    counts = sliced.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("_range", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("ord"))
-    number = F.col("_before") + F.col("_within")
-    line = F.concat("_b", number.cast("string"), "_t") if apart else F.col("_t")
-    return sliced.withColumn("_within", within).join(first, "_range").select(number.cast("long").alias("number"), line.alias("line"))
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder that the cluster shares (spark.checkpoint.dir; a temporary one in tests) and read again.
-
-    Unlike a checkpoint it is compressed, and a reader of a few columns reads those alone. The caller's cluster clears the folder.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkmill-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/kb-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    places = readers.placed(blocks.select("ord"), "ord")
+    some = places.limit(readers.BROADCAST_PATHS + 1).count() <= readers.BROADCAST_PATHS
+    joined = blocks.join(F.broadcast(places) if some else places, "ord")
+    number = (F.col("place") + 1).cast("long")
+    line = F.concat("before", number.cast("string"), "block") if "block" in blocks.columns else F.col("line")
+    return joined.select(number.alias("number"), line.alias("line"))
 
 
 def capabilities(spark: SparkSession) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import files
@@ -24,11 +27,59 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if busy < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where they are one process."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkmill-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again.
+
+    Unlike a checkpoint it is compressed, and a reader of a few columns reads those alone. The caller's cluster clears the folder.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kb-{fresh()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def placed(keys: DataFrame, order: str) -> DataFrame:
+    """keys with `place`, their position from 0 by the column `order`, whose values should be distinct.
+
+    Rows are dealt to ranges that hold about as many each, whatever the values are, and sorted within; the ranges' counts (a
+    row a partition) give each its first place. So no task holds all rows and none depends on how the values are spread.
+    """
+    ranges = keys.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    kept = reliable(ranges)
+    counts = kept.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_p", (before - F.col("_first")).alias("_before"))
+    return kept.join(F.broadcast(starts), "_p").select(*keys.columns, (F.col("_i") + F.col("_before")).alias("place"))
+
+
+#: Up to so many paths (under 300 bytes each) are broadcast to their files; beyond it they join by a shuffle.
+BROADCAST_PATHS = 100_000
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files under a path as rows (ord, path, content, length); ord is their place by path. Files over the limit keep no content."""
+    """Files under a path as rows (ord, path, content, length); ord is their place by path, from 0. Files over the limit keep no content.
+
+    The places are found from the paths alone; no content is read or moved for it while the paths are few.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     content = F.when(F.col("length") <= files.MOST_BYTES, F.col("content"))
-    return found.select(F.xxhash64("path").alias("ord"), "path", content.alias("content"), "length")
+    places = placed(found.select("path"), "path")
+    some = places.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    return found.join(F.broadcast(places) if some else places, "path").select(F.col("place").alias("ord"), "path", content.alias("content"), "length")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..plans.kb import chunks_of, convert, process
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
-    """New files under a path as (ord, path, content)."""
+    """New files under a path as (ord, path, content). A stream has no last file, so ord is a hash of the path and says no order; chunk ids don't depend on it."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     return found.select(F.xxhash64("path").alias("ord"), "path", "content")
