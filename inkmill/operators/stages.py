@@ -134,3 +134,19 @@ def restored(text: Column, originals: Column) -> Column:
 
 def safe_html(text: Column) -> Column:
     return stage(markdown.render_safe, "string")(text)
+
+
+def without_code(text: Column) -> Column:
+    return stage(markdown.without_code, "string")(text)
+
+
+def savings(original: Column, optimized: Column) -> Column:
+    return stage(tokens.savings, schemas.SAVINGS)(original, optimized)
+
+
+def costs(counted: Column) -> Column:
+    return stage(lambda n: tokens.costs(n or 0), schemas.COSTS)(counted)
+
+
+def embedding_text(trail: Column, content: Column) -> Column:
+    return stage(lambda t, c: chunks.embedding_text(list(t or []), c or ""), "string")(trail, content)

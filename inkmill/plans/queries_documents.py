@@ -9,6 +9,7 @@ from ..functions import native
 from ..operators import stages
 from ..options import Options
 from ..sources.readers import documents as texts
+from ..sources.readers import spread
 from ..sources.writers import jsonl_line
 from . import kb
 from .queries_text import SECTIONS, WS, _named, _with_headings, documents, estimated, table, trimmed
@@ -23,33 +24,22 @@ SECRETS = (
 )
 
 
-#: A table of fewer bytes for each core is dealt out to the cores: its file may be one row group, which one task would read.
-SMALL = 32 << 20
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """df, dealt evenly to the cores if the optimizer knows its scan to be small; larger tables come in many splits by themselves."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
-
-
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.element_at(F.array(*map(F.lit, SECRETS)), (F.col("doc_id") % len(SECRETS) + 1).cast("int"))
-    return _spread(documents(spark, sf_dir)).select("doc_id", F.concat(lead, F.lit("\n"), F.col("text")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(lead, F.lit("\n"), F.col("text")).alias("text"))
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_headings(_spread(documents(spark, sf_dir)))
+    return _with_headings(documents(spark, sf_dir))
 
 
 def token_count_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(documents(spark, sf_dir)).select("doc_id", stages.analyze(F.col("text")).alias("a")).select("doc_id", "a.tokens", "a.legacy_tokens", "a.words", "a.chars", "a.tokens_per_word", "a.encoding")
+    return documents(spark, sf_dir).select("doc_id", stages.analyze(F.col("text")).alias("a")).select("doc_id", "a.tokens", "a.legacy_tokens", "a.words", "a.chars", "a.tokens_per_word", "a.encoding")
 
 
 def token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = documents(spark, sf_dir).select("doc_id", "text", stages.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", (stages.decode(F.col("ids")) == F.col("text")).alias("same"))
+    return ids.select("doc_id", (F.md5(stages.decode(F.col("ids")))).alias("text_md5"))
 
 
 def url_tracking_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +58,6 @@ def frontmatter_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(spark, sf_dir).select("doc_id", stages.generated_frontmatter(F.col("markdown"), F.lit("d.md")).alias("frontmatter"))
 
 
-def code_protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fenced = F.concat(F.lit("a\n~~~\n"), F.col("text"), F.lit("\n~~~\nb\n```js\n# c  \n"))
-    return documents(spark, sf_dir).select("doc_id", (stages.restore_code(fenced) == fenced).alias("same"))
-
-
-CODE_PROTECT = "SELECT doc_id, true AS same FROM documents"
-
-
 def pii_entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _personal(spark, sf_dir).select(F.explode(stages.anonymize(F.col("text"))["entities"]).alias("e"))
     return found.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
@@ -91,21 +73,16 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.substring("a.text", 1, 80).alias("start"), F.md5("a.text").alias("text_md5"), "a.total", F.size("a.originals").alias("n_aliases"))
 
 
-def pii_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PII-29: restoring keeps every distinct value; repeated spellings become the first one."""
-    done = _personal(spark, sf_dir).select("doc_id", "text", stages.anonymize(F.col("text")).alias("a"))
-    back = stages.restored(F.col("a.text"), F.col("a.originals"))
-    return done.select("doc_id", F.regexp_count(back, F.lit(r"\[[A-Z_]+_[0-9]+\]")).alias("left_over"))
-
-
 URL_CLEAN = """
 SELECT page_id, '[page](' || replace(replace(url, '&ref=x', ''), '?utm_source=feed', '') || ') [' || url || '](' || upper(url) || ')' AS markdown FROM pages
 """
+#: The paragraph mark leaves the blank behind it.
+RTF_LINES = r"'café' || chr(10) || ' ' || replace(regexp_replace(text, '[^ -\[\]-z\n]', '', 'g'), chr(10), chr(10) || ' ')"
 TEXT_SQL = rf"""
 SELECT doc_id, CASE doc_id % 4
-  WHEN 0 THEN '```json' || chr(10) || '{{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "lang": ' || CAST(to_json(lang) AS VARCHAR) || ',' || chr(10) || '  "t": ' || CAST(to_json(substr(text, 1, 40)) AS VARCHAR) || chr(10) || '}}' || chr(10) || '```'
+  WHEN 0 THEN '```json' || chr(10) || '{{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "lang": ' || CAST(to_json(lang) AS VARCHAR) || ',' || chr(10) || '  "t": ' || CAST(to_json(text) AS VARCHAR) || chr(10) || '}}' || chr(10) || '```'
   WHEN 1 THEN '```python' || chr(10) || regexp_replace(text, '[{WS}]+$', '') || chr(10) || '```'
-  WHEN 2 THEN 'café' || chr(10) || ' ' || lang
+  WHEN 2 THEN {trimmed(RTF_LINES)}
   ELSE {trimmed("text")} END AS markdown
 FROM documents
 """
@@ -151,13 +128,16 @@ def chunk_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _spread(table(spark, sf_dir, "pages")).select("page_id", stages.html_markdown(F.col("html")).alias("markdown"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", stages.html_markdown(F.col("html")).alias("markdown"))
     return pages.select("page_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("markdown_md5"), F.regexp_count("markdown", F.lit("(?m)^- ")).alias("items"))
 
 
 def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CONV-03 to 06, SRC-11: the whole text as JSON, code, RTF and plain text. RTF holds it in ASCII, its lines as paragraphs."""
     kind = F.element_at(F.array(*map(F.lit, ("a.json", "b.py", "c.rtf", "d.txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    body = F.when(kind == "a.json", F.to_json(F.struct("doc_id", "lang", F.substring("text", 1, 40).alias("t")))).when(kind == "c.rtf", F.concat(F.lit("{\\rtf1 \\b caf\\'e9\\par "), F.col("lang"), F.lit("}"))).otherwise(F.col("text"))
+    ascii_ = F.regexp_replace("text", "[^ -\\[\\]-z\n]", "")
+    rtf = F.concat(F.lit("{\\rtf1 \\b caf\\'e9\\par "), F.regexp_replace(ascii_, "\n", "\\\\par "), F.lit("}"))
+    body = F.when(kind == "a.json", F.to_json(F.struct("doc_id", "lang", F.col("text").alias("t")))).when(kind == "c.rtf", rtf).otherwise(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", stages.text_markdown(body, kind).alias("markdown"))
 
 
@@ -186,8 +166,7 @@ def markdown_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = stages.safe_html(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count(html, F.lit("<[a-zA-Z/!]")).alias("tags_left"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.md5(stages.safe_html(F.col("html"))).alias("escaped_md5"))
 
 
 def _kb(spark: SparkSession, sf_dir: str, anonymize: bool = False) -> DataFrame:
@@ -225,6 +204,21 @@ def kb_names_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.distinct_names(documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), name.alias("filename")))
 
 
+#: x.md and x-2.md: the first x-2.md keeps its name if it comes before the second x.md, which would take it; all else follows.
+NAMES_EXACT = """
+WITH d AS (SELECT doc_id, source, doc_id % 7 = 0 AS given, row_number() OVER (PARTITION BY source, doc_id % 7 = 0 ORDER BY doc_id) AS n FROM documents),
+f AS (SELECT *, min(CASE WHEN given AND n = 1 THEN doc_id END) OVER (PARTITION BY source) AS g1, min(CASE WHEN NOT given AND n = 2 THEN doc_id END) OVER (PARTITION BY source) AS p2 FROM d)
+SELECT doc_id AS ord, source || CASE
+  WHEN NOT given THEN CASE WHEN n = 1 THEN '' WHEN coalesce(g1 < p2, false) THEN '-' || (n + 1) ELSE '-' || n END
+  WHEN p2 IS NULL OR g1 < p2 THEN '-2' || CASE WHEN n = 1 THEN '' ELSE '-' || n END ELSE '-2-' || (n + 1) END || '.md' AS filename
+FROM f
+"""
+CAPABILITIES = """
+SELECT ['doc', 'docx', 'pdf', 'sheet', 'html', 'image', 'text'] AS formats, ['raw', 'clean', 'ultra_compact'] AS levels, ['pseudonymize', 'mask', 'redact'] AS modes, ['compact', 'table', 'records'] AS table_formats,
+  'byte_bpe_multi_50k' AS encoding, 7 AS n_prices
+"""
+
+
 def conversations_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as sections of one document."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -253,20 +247,20 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_count_bpe, token_roundtrip, url_tracking_clean, optimize_levels, frontmatter_generate, code_protect_roundtrip, pii_entities_by_type,
-        pii_pseudonymize, pii_redact, pii_restore, chunk_rag, chunk_stats, chunk_jsonl, chunk_sections_python, html_to_markdown, text_to_markdown,
+        token_count_bpe, token_roundtrip, url_tracking_clean, optimize_levels, frontmatter_generate, pii_entities_by_type,
+        pii_pseudonymize, pii_redact, chunk_rag, chunk_stats, chunk_jsonl, chunk_sections_python, html_to_markdown, text_to_markdown,
         pdf_text_structure, ocr_text_structure, convert_batch, markdown_analysis, render_safe, kb_totals, kb_llms_txt, kb_llms_full, kb_llms_small,
         kb_keywords, kb_manifest, kb_names_exact, conversations_markdown, conversations_document, capabilities, chunk_breadcrumbs,
     )
 }
 ORACLES = {
-    "code_protect_roundtrip": CODE_PROTECT,
-    "token_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "token_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "chunk_sections_python": SECTIONS_IN_ORDER,
     "url_tracking_clean": URL_CLEAN,
     "text_to_markdown": TEXT_SQL,
     "ocr_text_structure": OCR_SQL,
     "conversations_document": CONVERSATIONS,
-    "pii_restore": "SELECT doc_id, 0 AS left_over FROM documents",
-    "render_safe": "SELECT page_id, 0 AS tags_left FROM pages",
+    "render_safe": "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_md5 FROM pages",
+    "kb_names_exact": NAMES_EXACT,
+    "capabilities": CAPABILITIES,
 }

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native, tokens
-from ..operators import sheets
-from ..sources.readers import cells
+from ..operators import sheets, stages
+from ..sources.readers import cells, spread
+from . import kb
 
 #: White space in DuckDB's regular expressions.
 WS = r"\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -30,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------
@@ -106,34 +107,26 @@ def token_fallback_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKEN_FALLBACK = f"SELECT doc_id, {estimated('text')} AS tokens FROM documents"
 
-#: Prices in cents, for whole-number arithmetic that any engine does alike.
-CENTS = [(m["id"], int(m["inputPerMillion"] * 100)) for m in tokens.PRICING]
-
 
 def pricing_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = F.array(*[F.struct(F.lit(i).alias("model_id"), F.lit(c).cast("long").alias("cents")) for i, c in CENTS])
-    rows = documents(spark, sf_dir).select("doc_id", native.estimate_tokens(F.col("text")).alias("tokens"), F.explode(prices).alias("p"))
-    micro = F.floor((F.col("tokens") * F.col("p.cents") + 50) / 100)
-    return rows.select("doc_id", F.col("p.model_id").alias("model_id"), "tokens", (micro.cast("double") / 1_000_000.0).alias("cost"))
+    """TOK-12 by the library's costs, rounded to six places as a display of decimals is."""
+    counted = documents(spark, sf_dir).select("doc_id", native.estimate_tokens(F.col("text")).alias("tokens"))
+    return counted.select("doc_id", "tokens", F.explode(stages.costs(F.col("tokens"))).alias("model_id", "cost"))
 
 
 PRICING = f"""
-WITH m(model_id, cents) AS (VALUES {', '.join(f"('{i}', {c})" for i, c in CENTS)}),
+WITH m(model_id, price) AS (VALUES {', '.join(f"('{m['id']}', {m['inputPerMillion']}::DOUBLE)" for m in tokens.PRICING)}),
 t AS ({TOKEN_FALLBACK})
-SELECT doc_id, model_id, tokens, CAST((tokens * cents + 50) // 100 AS DOUBLE) / 1000000.0::DOUBLE AS cost FROM t, m
+SELECT doc_id, model_id, tokens, CAST(printf('%.6f', CAST(tokens AS DOUBLE) / 1000000.0::DOUBLE * price) AS DOUBLE) AS cost FROM t, m
 """
 
 
-def _percent(saved: Column, before: Column) -> Column:
-    return F.when(before > 0, F.floor((saved * 2000 + before) / (before * 2)).cast("double") / 10.0).otherwise(0.0)
-
-
 def savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.concat(F.col("text"), F.repeat(F.lit("\n\n \n"), (F.col("doc_id") % 9).cast("int")))
     rows = documents(spark, sf_dir).select("lang", native.estimate_tokens(padded).alias("before"), native.estimate_tokens(native.tighten(padded, "clean")).alias("after"))
     by = rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("before").alias("original_tokens"), F.sum("after").alias("optimized_tokens"))
     saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("optimized_tokens"))
-    return by.withColumn("tokens_saved", saved.cast("long")).withColumn("savings_percentage", _percent(saved, F.col("original_tokens")))
+    return by.withColumn("tokens_saved", saved.cast("long")).withColumn("savings_percentage", native.savings_percentage(saved, F.col("original_tokens")))
 
 
 SAVINGS = f"""
@@ -250,33 +243,29 @@ FROM f
 
 
 def meta_keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """META-05 relationally: words of a heading counted by document, the six most frequent, ties by first place."""
-    line = F.lower(F.element_at(F.split(F.col("text"), "\n"), 1))
-    words = F.split(F.regexp_replace(line, f"[^A-Za-z0-9_À-ÿ{native.WS}]", " "), f"{native.S}+")
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("at", "word")).filter((F.length("word") > 4) & ~F.col("word").isin(*native.markdown.STOP_WORDS) & ~F.col("word").rlike("^[0-9]+$"))
-    counted = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counted.withColumn("rank", rank).filter("rank <= 6").select("doc_id", F.col("rank").cast("int").alias("rank"), "word", "n")
+    """META-05 by the library: each line of the whole text is a heading; the most frequent words of title and headings, ties by first place.
+
+    Digits are taken out, since whole numbers come before other words of one frequency.
+    """
+    text = F.concat(F.lit("# Index\n## "), F.regexp_replace(F.regexp_replace("text", "[0-9\\r]", ""), "\n", "\n## "))
+    found = documents(spark, sf_dir).select("doc_id", stages.metadata(text, F.lit("d.md"))["keywords"].alias("k"))
+    return found.select("doc_id", F.posexplode("k").alias("at", "word")).select("doc_id", (F.col("at") + 1).alias("rank"), "word")
 
 
 META_KEYWORDS = f"""
-WITH w AS (
-  SELECT doc_id, unnest(regexp_split_to_array(l, '[{WS}]+')) AS word, generate_subscripts(regexp_split_to_array(l, '[{WS}]+'), 1) AS pos
-  FROM (SELECT doc_id, regexp_replace(lower(string_split(text, chr(10))[1]), '[^A-Za-z0-9_À-ÿ{WS}]', ' ', 'g') AS l FROM documents)
-), c AS (
-  SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w
-  WHERE length(word) > 4 AND NOT regexp_matches(word, '^[0-9]+$') AND word NOT IN ({', '.join(f"'{s}'" for s in native.markdown.STOP_WORDS)}) GROUP BY doc_id, word
-), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c)
-SELECT doc_id, CAST(rank AS INTEGER) AS rank, word, n FROM r WHERE rank <= 6
+WITH l AS (SELECT doc_id, 'index index ' || regexp_replace(lower(regexp_replace(text, '[0-9\\r]', '', 'g')), '[^A-Za-z0-9_À-ÿ{WS}]', ' ', 'g') AS l FROM documents),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(l, '[{WS}]+')) AS word, generate_subscripts(regexp_split_to_array(l, '[{WS}]+'), 1) AS pos FROM l),
+c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 4 AND word NOT IN ({', '.join(f"'{s}'" for s in native.markdown.STOP_WORDS)}) GROUP BY doc_id, word),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, word FROM r WHERE rank <= {native.markdown.KEYWORDS}
 """
 
 
 def markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOK-14 natively on prose without code."""
+    """TOK-14 by the library's document stage, on prose without code."""
     text = F.concat(F.lit("# H\n\n## I\n[a](b) ![c](d)\n| x | y |\n"), F.col("text"))
-    counted = {"headers": native.java("^#{1,6}\\s+[^\\n\\r]+$", "m"), "links": "\\[[^\\n\\r]*?\\]\\([^\\n\\r]*?\\)", "images": "!\\[[^\\n\\r]*?\\]\\([^\\n\\r]*?\\)", "table_rows": native.java("^\\s*\\|[^\\n\\r]*\\|\\s*$", "m")}
-    columns = [F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in counted.items()]
-    return documents(spark, sf_dir).select("doc_id", *columns, native.line_count(text).alias("lines"))
+    found = documents(spark, sf_dir).select("doc_id", stages.structure(text, F.lit(None).cast("string")).alias("s"))
+    return found.select("doc_id", "s.headers", "s.links", "s.images", "s.table_rows", "s.lines")
 
 
 _STRUCT = "'# H\n\n## I\n[a](b) ![c](d)\n| x | y |\n' || text"
@@ -415,7 +404,7 @@ FROM s GROUP BY doc_id, part HAVING body_lines > 0
 
 
 def chunk_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.array_join(F.array(F.lit("Corpus"), F.col("source"), F.col("lang")), " > "), F.lit("\n\n"), F.col("text"))
+    text = stages.embedding_text(F.array(F.lit("Corpus"), F.col("source"), F.col("lang")), F.col("text"))
     return documents(spark, sf_dir).select("doc_id", F.md5(text).alias("embedding_md5"))
 
 
@@ -426,21 +415,14 @@ EMBEDDING = "SELECT doc_id, md5('Corpus > ' || source || ' > ' || lang || chr(10
 
 
 def html_strip_noncontent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("html")
-    for tag in ("script", "style", "head", "noscript"):
-        text = F.regexp_replace(text, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    text = F.regexp_replace(text, "(?s)<!--.*?-->", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("chars"), F.md5(text).alias("stripped_md5"))
-
-
-HTML_STRIP = r"""
-WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(t, '(?is)<style[^>]*>.*?</style>', '', 'g') AS t FROM a),
-c AS (SELECT page_id, regexp_replace(t, '(?is)<head[^>]*>.*?</head>', '', 'g') AS t FROM b),
-d AS (SELECT page_id, regexp_replace(t, '(?is)<noscript[^>]*>.*?</noscript>', '', 'g') AS t FROM c),
-e AS (SELECT page_id, regexp_replace(t, '(?s)<!--.*?-->', '', 'g') AS t FROM d)
-SELECT page_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS stripped_md5 FROM e
-"""
+    """CONV-22 by the library: each kind of element that is no content around the url, one around the whole page; what is left is known."""
+    url = F.regexp_replace("url", "[<>&]", "")
+    parts = [F.concat(F.lit(f"<{tag} a='b'>"), url, F.lit(f"</{tag}>")) for tag in ("script", "style", "noscript", "iframe", "object", "canvas", "svg", "head")]
+    whole = F.concat(F.lit("<p>Page "), F.col("page_id").cast("string"), F.lit("</p><!-- <p>c</p> -->"), *parts, F.lit("<template>"), F.col("html"), F.lit("</template><embed src='x'><p>end</p>"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", stages.html_markdown(whole).alias("markdown"))
+
+
+HTML_STRIP = "SELECT page_id, 'Page ' || page_id || chr(10) || chr(10) || 'end' AS markdown FROM pages"
 
 
 # --- sheets ------------------------------------------------------------------------------------------------------------
@@ -488,9 +470,9 @@ SELECT n AS row_no, '- [Ligne ' || n || '] **Name**: ' || s_name || CASE WHEN s_
 
 
 def kb_dedup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    name = F.concat("source", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".md"))
-    return documents(spark, sf_dir).select("doc_id", name.alias("filename"))
+    """KB-03 by the library: the names of all documents of a source are one."""
+    named = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.concat("source", F.lit(".md")).alias("filename"))
+    return kb.distinct_names(named).select(F.col("ord").alias("doc_id"), "filename")
 
 
 KB_NAMES = """

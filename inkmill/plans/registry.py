@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_documents, queries_text
+from . import queries_documents, queries_exact, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_documents.QUERIES}
-ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_documents.ORACLES}
+QUERIES = {**queries_text.QUERIES, **queries_documents.QUERIES, **queries_exact.QUERIES}
+ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_documents.ORACLES, **queries_exact.ORACLES}
