@@ -246,9 +246,9 @@ def metadata(text: str | None, filename: str = "") -> dict:
         return {"title": filename or "Untitled", "description": "", "headings": [], "keywords": [], "estimated_tokens": 0}
     prose = without_code(text)
     headings = [{"level": len(m[1]), "text": trim(m[2])} for m in _HEADING.finditer(prose)]
-    first = next((m for m in _HEADING.finditer(prose) if len(m[1]) == 1), None)
-    if first:
-        title = trim(first[2])
+    first = next((h["text"] for h in headings if h["level"] == 1), None)
+    if first is not None:
+        title = first
     else:
         line = next((x for x in lines_of(prose) if trim(x)), "")
         title = line.strip("#*_" + BLANKS) or (re.sub(r"\.[^/.]+\Z", "", filename) if filename else "Document")

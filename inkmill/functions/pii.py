@@ -77,7 +77,10 @@ def _routable(text: str) -> bool:
 
 @dataclass(frozen=True)
 class Detector:
-    """One kind of entity: the switch it obeys, the counter of its placeholders, its label, and a test of its matches."""
+    """One kind of entity: the switch it obeys, the counter of its placeholders, its label, and a test of its matches.
+
+    A text without any of the hints has no match and isn't searched; '0' stands for any digit.
+    """
 
     entity: str
     switch: str
@@ -85,23 +88,28 @@ class Detector:
     label: str
     pattern: re.Pattern[str]
     test: Callable[[str], bool] | None = None
+    hints: tuple[str, ...] = ()
+
+    def may_match(self, text: str) -> bool:
+        return not self.hints or any(h in text if h != "0" else _DIGIT.search(text) for h in self.hints)
 
 
+_DIGIT = re.compile("[0-9]")
 #: In the order in which they see the text; each sees what those before it have left.
 DETECTORS = (
     Detector("private_key", "secrets", "SECRET", "CLE_PRIVEE", ascii_word(PEM, re.I)),
-    Detector("jwt_token", "secrets", "SECRET", "TOKEN_JWT", ascii_word(JWT)),
-    Detector("api_key_openai", "secrets", "SECRET", "API_KEY_OPENAI", ascii_word(OPENAI)),
-    Detector("aws_key", "secrets", "SECRET", "AWS_ACCESS_KEY", ascii_word(AWS)),
-    Detector("github_token", "secrets", "SECRET", "GITHUB_TOKEN", ascii_word(GITHUB)),
+    Detector("jwt_token", "secrets", "SECRET", "TOKEN_JWT", ascii_word(JWT), hints=("eyJ",)),
+    Detector("api_key_openai", "secrets", "SECRET", "API_KEY_OPENAI", ascii_word(OPENAI), hints=("sk-",)),
+    Detector("aws_key", "secrets", "SECRET", "AWS_ACCESS_KEY", ascii_word(AWS), hints=("AKIA",)),
+    Detector("github_token", "secrets", "SECRET", "GITHUB_TOKEN", ascii_word(GITHUB), hints=("ghp_", "github_pat_")),
     Detector("webhook_secret", "secrets", "SECRET", "WEBHOOK_SECRET", ascii_word(WEBHOOK, re.I)),
-    Detector("french_nir", "nir", "SECURITE_SOCIALE", "NIR", ascii_word(NIR, re.I), nir),
-    Detector("iban", "ibans", "IBAN", "IBAN", ascii_word(IBAN, re.I), iban),
-    Detector("credit_card", "cards", "CARTE_BANCAIRE", "CB", ascii_word(CARD), luhn),
-    Detector("email", "emails", "EMAIL", "EMAIL", ascii_word(EMAIL)),
+    Detector("french_nir", "nir", "SECURITE_SOCIALE", "NIR", ascii_word(NIR, re.I), nir, ("0",)),
+    Detector("iban", "ibans", "IBAN", "IBAN", ascii_word(IBAN, re.I), iban, ("0",)),
+    Detector("credit_card", "cards", "CARTE_BANCAIRE", "CB", ascii_word(CARD), luhn, ("0",)),
+    Detector("email", "emails", "EMAIL", "EMAIL", ascii_word(EMAIL), hints=("@",)),
     Detector("phone_fr", "phones", "TELEPHONE", "TEL", ascii_word(PHONE_FR)),
     Detector("phone_intl", "phones", "TELEPHONE", "TEL", ascii_word(PHONE), _phone_size),
-    Detector("ip_address", "ips", "IP", "ADRESSE_IP", ascii_word(IPV4), _routable),
+    Detector("ip_address", "ips", "IP", "ADRESSE_IP", ascii_word(IPV4), _routable, ("0",)),
 )
 SWITCHES = ("secrets", "nir", "ibans", "cards", "emails", "phones", "ips", "names")
 
@@ -161,7 +169,7 @@ def anonymize(text: str | None, mode: str = "pseudonymize", off: tuple[str, ...]
     registry = Registry(mode)
     out = text or ""
     for d in DETECTORS if out else ():
-        if d.switch not in off:
+        if d.switch not in off and d.may_match(out):
             out = d.pattern.sub(lambda m, d=d: registry.replace(d.entity, d.counter, d.label, m[0]) if d.test is None or d.test(m[0]) else m[0], out)
     if out and "names" not in off:
         out = _mask_names(out, registry)

@@ -30,14 +30,25 @@ def lines_of(text: str) -> list[str]:
     return _LINES.split(text)
 
 
+#: Characters on which Python's own splitting and the white space above differ.
+_APART = "\x1c\x1d\x1e\x1f\x85\ufeff"
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for w in _SPLIT.split(text or "") if w]
+    text = text or ""
+    if not any(c in text for c in _APART):
+        return text.split()  # the same words, ten times as fast
+    return [w for w in _SPLIT.split(text) if w]
+
+
+def longest_word(text: str) -> int:
+    return max(map(len, words_of(text)), default=0)
 
 
 def utf16_len(text: str | None) -> int:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
     text = text or ""
-    return len(text) + (0 if text.isascii() else sum(c > "￿" for c in text))
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def utf16_cut(text: str, units: int) -> str:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Mapping
 from functools import lru_cache
 
-from .text import NS, fixed, utf16_len, words_of
+from .text import NS, fixed, longest_word, utf16_len, words_of
 
 #: Names of the encodings, primary first, and the vocabulary files that stand in for them where they can't be loaded.
 PRIMARY, LEGACY = "o200k_base", "cl100k_base"
@@ -52,16 +52,37 @@ def encoder(name: str = PRIMARY):
         except Exception:  # no cached file and no network
             pass
     file = STAND_INS.get(name, name)
-    try:
-        with open(f"{VOCABULARIES}/{file}.tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    except OSError:
+    path = vocabulary(file)
+    if path is None:
         return None, None
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return file, tiktoken.Encoding(file, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabulary(file: str) -> str | None:
+    """The path of a vocabulary file: in the folder of vocabularies, or among the files that the driver has sent; None without."""
+    own = f"{VOCABULARIES}/{file}.tiktoken"
+    if os.path.exists(own):
+        return own
     try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
-    return file, tiktoken.Encoding(file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        from pyspark import SparkFiles
+
+        sent = SparkFiles.get(f"{file}.tiktoken")
+    except Exception:  # not in a Spark process
+        return None
+    return sent if os.path.exists(sent) else None
+
+
+def encoders() -> tuple[str | None, str | None]:
+    """The names of the encodings that this process uses."""
+    return encoder(PRIMARY)[0], encoder(LEGACY)[0]
+
+
+def require(named: tuple[str | None, str | None]) -> None:
+    """Raise where this process has other encodings than the driver named: its counts and chunks would differ from those of others."""
+    if encoders() != named:
+        raise RuntimeError(f"this worker counts tokens by {encoders()}, the driver by {named}: the vocabulary files did not get here")
 
 
 def encode(text: str, name: str = PRIMARY) -> list[int] | None:
@@ -70,7 +91,7 @@ def encode(text: str, name: str = PRIMARY) -> list[int] | None:
     if enc is None:
         return None
     plain = enc.encode_ordinary
-    if not _LONG.search(text) and not _REPEATS.search(text):
+    if longest_word(text) < REPEAT or not _LONG.search(text) and not _REPEATS.search(text):  # runs are within words
         return plain(text)
 
     def segmented(part: str) -> list[int]:

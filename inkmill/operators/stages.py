@@ -31,13 +31,16 @@ def _shaped(value, kind: DataType):
     return value
 
 
-def stage(function: Callable, ddl: str) -> Callable[..., Column]:
-    """A column function from one of Python values; it needs a session."""
+def stage(function: Callable, ddl: str, counts: bool = False) -> Callable[..., Column]:
+    """A column function from one of Python values; it needs a session. If it counts tokens, a worker without the driver's encodings fails."""
     kind = DataType.fromDDL(ddl)
     arrow = to_arrow_type(kind)
     nested = isinstance(kind, (StructType, ArrayType, MapType))
+    named = tokens.encoders() if counts else None
 
     def run(*columns: pa.Array) -> pa.Array:
+        if named:
+            tokens.require(named)
         rows = (function(*row) for row in zip(*(c.to_pylist() for c in columns)))
         return pa.array([_shaped(r, kind) for r in rows] if nested else list(rows), type=arrow)
 
@@ -55,43 +58,52 @@ def anonymize(text: Column, mode: str = "pseudonymize", off: tuple[str, ...] = (
 
 def optimize(text: Column, filename: Column, options: Options = Options()) -> Column:
     o = options
-    return stage(lambda t, f: markdown.optimize(t, o.level, o.strip_images, o.compact_tables, o.inject_frontmatter, f or "", tokens.load_pricing()), schemas.OPTIMIZED)(text, filename)
+    return stage(lambda t, f: markdown.optimize(t, o.level, o.strip_images, o.compact_tables, o.inject_frontmatter, f or "", tokens.load_pricing()), schemas.OPTIMIZED, True)(text, filename)
+
+
+def optimize_each(text: Column, filename: Column, levels: dict[str, Options]) -> Column:
+    """The same at several levels in one pass, so that what they share is counted once: a struct with a field a level."""
+
+    def run(t, f):
+        return {n: markdown.optimize(t, o.level, o.strip_images, o.compact_tables, o.inject_frontmatter, f or "", tokens.load_pricing()) for n, o in levels.items()}
+
+    return stage(run, f"struct<{', '.join(f'{n}: {schemas.OPTIMIZED}' for n in levels)}>", True)(text, filename)
 
 
 def analyze(text: Column) -> Column:
-    return stage(tokens.analyze, schemas.ANALYSIS)(text)
+    return stage(tokens.analyze, schemas.ANALYSIS, True)(text)
 
 
 def structure(text: Column, original: Column) -> Column:
-    return stage(markdown.structure, schemas.STATS)(text, original)
+    return stage(markdown.structure, schemas.STATS, True)(text, original)
 
 
 def count_tokens(text: Column, encoding: str = tokens.PRIMARY) -> Column:
-    return stage(lambda t: tokens.count_tokens(t, encoding), "bigint")(text)
+    return stage(lambda t: tokens.count_tokens(t, encoding), "bigint", True)(text)
 
 
 def encode(text: Column) -> Column:
-    return stage(lambda t: tokens.encode(t or "") or [], "array<int>")(text)
+    return stage(lambda t: tokens.encode(t or "") or [], "array<int>", True)(text)
 
 
 def decode(ids: Column) -> Column:
-    return stage(lambda i: tokens.decode(i or []), "string")(ids)
+    return stage(lambda i: tokens.decode(i or []), "string", True)(ids)
 
 
 def chunk(text: Column, doc_id: Column, title: Column, options: Options = Options()) -> Column:
     o = options
-    return stage(lambda t, d, n: chunks.chunk(t, d, n or "Document", o.chunk_max_tokens, o.chunk_overlap_tokens, o.chunk_min_tokens), schemas.CHUNKS)(text, doc_id, title)
+    return stage(lambda t, d, n: chunks.chunk(t, d, n or "Document", o.chunk_max_tokens, o.chunk_overlap_tokens, o.chunk_min_tokens), schemas.CHUNKS, True)(text, doc_id, title)
 
 
 def sections(text: Column, title: Column) -> Column:
     def run(t, n):
         return [{"title": p.title, "breadcrumbs": p.trail, "content": p.content, "tokens": p.tokens} for p in chunks.sections(t or "", n or "Document")]
 
-    return stage(run, schemas.SECTIONS)(text, title)
+    return stage(run, schemas.SECTIONS, True)(text, title)
 
 
 def metadata(text: Column, filename: Column) -> Column:
-    return stage(lambda t, f: markdown.metadata(t, f or ""), schemas.META)(text, filename)
+    return stage(lambda t, f: markdown.metadata(t, f or ""), schemas.META, True)(text, filename)
 
 
 def html_markdown(page: Column) -> Column:
@@ -125,7 +137,7 @@ def restore_code(text: Column) -> Column:
 
 
 def generated_frontmatter(text: Column, filename: Column) -> Column:
-    return stage(lambda t, f: markdown.frontmatter(markdown.metadata(t, f or "")), "string")(text, filename)
+    return stage(lambda t, f: markdown.frontmatter(markdown.metadata(t, f or "")), "string", True)(text, filename)
 
 
 def restored(text: Column, originals: Column) -> Column:
@@ -141,7 +153,7 @@ def without_code(text: Column) -> Column:
 
 
 def savings(original: Column, optimized: Column) -> Column:
-    return stage(tokens.savings, schemas.SAVINGS)(original, optimized)
+    return stage(tokens.savings, schemas.SAVINGS, True)(original, optimized)
 
 
 def costs(counted: Column) -> Column:

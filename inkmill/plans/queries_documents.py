@@ -49,8 +49,8 @@ def url_tracking_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def optimize_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _markdown(spark, sf_dir)
-    out = [stages.optimize(F.col("markdown"), F.lit("d.md"), Options(level=level)).alias(level) for level in ("raw", "clean", "ultra_compact")]
-    rows = docs.select("doc_id", *out)
+    levels = {level: Options(level=level) for level in ("raw", "clean", "ultra_compact")}
+    rows = docs.select("doc_id", stages.optimize_each(F.col("markdown"), F.lit("d.md"), levels).alias("o")).select("doc_id", "o.*")
     return rows.select("doc_id", *[F.col(f"{x}.savings.tokens_saved").alias(f"{x}_saved") for x in ("raw", "clean", "ultra_compact")], F.col("clean.meta.title").alias("title"), F.md5("ultra_compact.markdown").alias("ultra_md5"))
 
 

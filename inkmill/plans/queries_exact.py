@@ -362,8 +362,8 @@ LOOSE = "---\ntitle: \"t\"\n---\n\n# Titre\n\n\n\n<!-- c -->\n<p> </p>\nPage 3 o
 def optimize_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OPT-01 to 24: a document with one of everything, at each level, with the text behind it."""
     text = _text(LOOSE, plain(), "  \n")
-    levels = [stages.optimize(text, F.lit("d.md"), Options(level=x)).alias(x) for x in markdown.LEVELS]
-    done = documents(spark, sf_dir).select("doc_id", *levels)
+    levels = stages.optimize_each(text, F.lit("d.md"), {x: Options(level=x) for x in markdown.LEVELS})
+    done = documents(spark, sf_dir).select("doc_id", levels.alias("o")).select("doc_id", "o.*")
     return done.select("doc_id", *[F.md5(F.col(f"{x}.markdown")).alias(f"{x}_md5") for x in markdown.LEVELS], F.col("clean.meta.title").alias("title"))
 
 

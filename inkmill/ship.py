@@ -12,6 +12,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import tokens
+
 ROOT = os.path.dirname(os.path.abspath(__file__))
 _SENT: set[str] = set()
 
@@ -32,6 +34,9 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(top, name)
                     z.write(path, os.path.join("inkmill", os.path.relpath(path, ROOT)))
     context.addPyFile(archive)
+    for file in tokens.STAND_INS.values():  # the vocabularies too, a few MB, so that all workers count by the same ones
+        if path := tokens.vocabulary(file):
+            context.addFile(path)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
