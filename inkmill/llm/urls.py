@@ -115,11 +115,14 @@ def listing_of(pages: DataFrame) -> DataFrame:
     The choice goes by the md5 of the canonical URL, so it depends on no host. A near miss is the canonical URL with one more
     character; it fills the filter but must not block.
     """
-    key = canonical(F.col("url"))
+    named = pages.select(canonical(F.col("url")).alias("_key")).filter("_key <> ''")  # once, as a column, since it is used often
+    key = F.col("_key")
     bare, query = F.substring_index(key, "?", 1), F.when(F.instr(key, "?") > 0, F.substr(key, F.instr(key, "?") + 1))
-    spelled = F.concat(F.lit("https://www."), bare, F.when(F.contains(bare, F.lit("/")), F.lit(".html")).otherwise(""), F.lit("?utm_source=list"), F.coalesce(F.concat(F.lit("&"), query), F.lit("")), F.lit("#top"))
-    other = F.concat(F.lit("http://"), bare, F.lit("~"), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
-    return pages.filter(key != "").select(F.when(F.substring(F.md5(key), 1, 1).isin(*LISTED), spelled).otherwise(other).alias("url"))
+    parts = named.select("_key", bare.alias("_bare"), F.coalesce(query, F.lit("")).alias("_query"))
+    html = F.when(F.contains("_bare", F.lit("/")), F.lit(".html")).otherwise("")
+    spelled = F.concat(F.lit("https://www."), "_bare", html, F.lit("?utm_source=list&"), "_query", F.lit("#top"))
+    other = F.concat(F.lit("http://"), "_bare", F.lit("~?"), "_query")
+    return parts.select(F.when(F.substring(F.md5("_key"), 1, 1).isin(*LISTED), spelled).otherwise(other).alias("url"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
