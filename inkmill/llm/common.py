@@ -139,12 +139,13 @@ def named_by_least(group: DataFrame, nodes: DataFrame, salts: int = 64) -> DataF
     """(node, least) of components (node, component): the smallest id that nodes (node, id) give to a node of the component.
 
     The nodes of a component are dealt to `salts` parts before they meet its least id, so a component of any size is spread.
+    Both joins are merges at any size: a broadcast of the nodes would leave all of a component to the task that has its least id.
     """
     named = group.join(nodes.select("node", "id"), "node").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
     parts = named.groupBy("component", "_salt").agg(F.min("id").alias("_least"))
     least = parts.groupBy("component").agg(F.min("_least").alias("least"))
-    shares = parts.select("component", "_salt").join(least, "component")
-    return named.join(shares, ["component", "_salt"]).select("node", "least")
+    shares = parts.select("component", "_salt").join(least.hint("merge"), "component")
+    return named.join(shares.hint("merge"), ["component", "_salt"]).select("node", "least")
 
 
 def lowest(hit: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
