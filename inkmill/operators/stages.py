@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .. import schemas
-from ..functions import chunks, files, html, markdown, pii, plain, tokens
+from ..functions import chunks, files, html, markdown, pii, plain, render, tokens
 from ..options import Options
 
 
@@ -148,6 +148,10 @@ def safe_html(text: Column) -> Column:
     return stage(markdown.render_safe, "string")(text)
 
 
+def rendered(text: Column) -> Column:
+    return stage(render.to_html, "string")(text)
+
+
 def without_code(text: Column) -> Column:
     return stage(markdown.without_code, "string")(text)
 

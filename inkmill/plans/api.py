@@ -33,8 +33,8 @@ def optimize_text(texts: DataFrame, given: Mapping[str, object] | None = None) -
 
 
 def analyze_markdown(texts: DataFrame) -> DataFrame:
-    """API-06: texts (ord, markdown) with stats, and an escaped text that holds no HTML."""
-    return texts.select("ord", stages.structure(F.col("markdown"), F.lit(None).cast("string")).alias("stats"), stages.safe_html(F.col("markdown")).alias("escaped"))
+    """API-06: texts (ord, markdown) with stats, rendered as HTML, and as an escaped text that holds no HTML."""
+    return texts.select("ord", stages.structure(F.col("markdown"), F.lit(None).cast("string")).alias("stats"), stages.rendered(F.col("markdown")).alias("html"), stages.safe_html(F.col("markdown")).alias("escaped"))
 
 
 def knowledge_base(docs: DataFrame, given: Mapping[str, object] | None = None) -> kb.KnowledgeBase:

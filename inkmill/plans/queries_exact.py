@@ -269,6 +269,25 @@ SELECT doc_id, md5(array_to_string(list_filter(['[A](/a)', '## Doc ' || doc_id,
 FROM documents
 """
 
+
+def markdown_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK-16, API-06: headings, marks, links, lists, tables, code and escapes around the text, as HTML."""
+    text = _text(
+        "# Doc ", _id(), "\n\n", plain(), "\n\nUn **mot** *fin* ~~x~~ `a<b` [lien](https://x.y/", _id(), ") <b>brut</b> [non](javascript:x)\n\n- un\n- deux\n\n3. a\n4. b\n\n"
+        "| A | B |\n| --- | ---: |\n| ", _id(), " | v |\n\n> cite\n\n```js\na *b*\n```\n\n---\n![Plan](p.png)",
+    )
+    return documents(spark, sf_dir).select("doc_id", F.md5(stages.rendered(text)).alias("html_md5"))
+
+
+MARKDOWN_RENDERED = rf"""
+SELECT doc_id, md5(array_to_string(list_filter(['<h1>Doc ' || doc_id || '</h1>', CASE WHEN {PLAIN} <> '' THEN '<p>' || {PLAIN} || '</p>' END,
+  '<p>Un <strong>mot</strong> <em>fin</em> <s>x</s> <code>a&lt;b</code> <a href="https://x.y/' || doc_id || '">lien</a> &lt;b&gt;brut&lt;/b&gt; [non](javascript:x)</p>',
+  '<ul>', '<li>un</li>', '<li>deux</li>', '</ul>', '<ol start="3">', '<li>a</li>', '<li>b</li>', '</ol>',
+  '<table>', '<thead>', '<tr><th>A</th><th style="text-align:right">B</th></tr>', '</thead>', '<tbody>', '<tr><td>' || doc_id || '</td><td style="text-align:right">v</td></tr>', '</tbody>', '</table>',
+  '<blockquote>', '<p>cite</p>', '</blockquote>', '<pre><code class="language-js">a *b*', '</code></pre>', '<hr>', '<p><img src="p.png" alt="Plan"></p>'], lambda x: x IS NOT NULL), chr(10))) AS html_md5
+FROM documents
+"""
+
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _SHEET, _RELATION = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -533,7 +552,7 @@ QUERIES_AND_SQL = {
     "token_count_known": (token_count_known, TOKENS_KNOWN), "token_runs": (token_runs, TOKEN_RUNS), "savings_known": (savings_known, SAVINGS_KNOWN), "chunk_paragraphs": (chunk_paragraphs, _paragraph_sql(5)),
     "chunk_overlap": (chunk_overlap, _paragraph_sql(3)), "chunk_merge": (chunk_merge, CHUNK_MERGE), "chunk_sentences": (chunk_sentences, CHUNK_SENTENCES), "chunk_tables": (chunk_tables, CHUNK_TABLES),
     "chunk_limits": (chunk_limits, CHUNK_LIMITS), "pii_planted": (pii_planted, _planted_sql("pseudonymize")), "pii_planted_mask": (pii_planted_mask, _planted_sql("mask")), "pii_planted_redact": (pii_planted_redact, _planted_sql("redact")),
-    "pii_planted_types": (pii_planted_types, TYPES), "pii_restore": (pii_restore, PII_RESTORE), "pii_toggles": (pii_toggles, PII_TOGGLES), "html_built": (html_built, HTML_BUILT), "files_built": (files_built, FILES_BUILT),
+    "pii_planted_types": (pii_planted_types, TYPES), "pii_restore": (pii_restore, PII_RESTORE), "pii_toggles": (pii_toggles, PII_TOGGLES), "html_built": (html_built, HTML_BUILT), "markdown_rendered": (markdown_rendered, MARKDOWN_RENDERED), "files_built": (files_built, FILES_BUILT),
     "files_in_order": (files_in_order, FILES_IN_ORDER), "pdf_text_built": (pdf_text_built, PDF_BUILT), "optimize_known": (optimize_known, OPTIMIZE_KNOWN), "code_protect_roundtrip": (code_protect_roundtrip, CODE_PROTECT),
     "frontmatter_known": (frontmatter_known, FRONTMATTER_KNOWN), "metadata_of_nothing": (metadata_of_nothing, METADATA_NOTHING), "kb_index_known": (kb_index_known, KB_INDEX), "kb_totals_known": (kb_totals_known, KB_TOTALS),
     "kb_keywords_known": (kb_keywords_known, KB_KEYWORDS), "jsonl_known": (jsonl_known, JSONL), "zip_names": (zip_names, ZIP_NAMES), "options_parsed": (options_parsed, OPTIONS), "optimize_text_request": (optimize_text_request, OPTIMIZE_TEXT),

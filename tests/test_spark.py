@@ -153,6 +153,7 @@ def test_requests(spark, tmp_path):
     again = api.optimize_text(spark.createDataFrame([(1, "document.md", once.markdown)], texts.schema), {"injectFrontmatter": True}).first()
     assert again.markdown == once.markdown and again.savings.tokens_saved == 0 and again.chunks[0].id == once.chunks[0].id
     assert api.analyze_markdown(texts.filter("ord = 1")).first().stats.headers == 1
+    assert api.analyze_markdown(texts.filter("ord = 1")).first().html == "<h1>T</h1>\n<p>x</p>"
     results = api.convert(readers.read_files(spark, str(tmp_path)))
     assert api.batch_economy(results).first().original_tokens > 0 and len(zipfile.ZipFile(io.BytesIO(api.download_zip(results))).namelist()) == 1
     assert api.preview(results).count() == 2 and api.status(spark).count() == 1
