@@ -595,6 +595,48 @@ def test_quality_of_rows_that_were_not_fitted(spark):
     assert n[1, True] + n[1, False] > 700 and n[1, True] >= 0.99 * (n[1, True] + n[1, False])
 
 
+def test_quality_is_learned_from_every_labelled_row(spark):
+    """Good texts in capitals come after 6,000 others by the hash of their ids; the odd ones are in capitals as well."""
+    ids = [r.id for r in spark.range(6_300).orderBy(F.xxhash64("id")).collect()]
+    words = [f"w{chr(97 + i)}{chr(97 + k)}" for i in range(3) for k in range(26)]
+    plain = " ".join(words)
+    rows = [(i, plain if n < 6_000 else plain.upper(), "s") for n, i in enumerate(ids)] + [(7_000 + i, "%%% ".join(words).upper(), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 7_000), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.judge(docs_of(spark, rows).repartition(8), labels).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert sum(out[i].kept for i in ids) >= 0.998 * 6_300 and sum(out[i].kept for i in ids[6_000:]) > 280
+    assert not any(out[7_000 + i].kept for i in range(60))
+
+
+def test_every_row_is_in_equally_many_trees():
+    for total in (1, 2, 3, 17, 1000, 4097):
+        assert sorted(quality.shuffled(np.arange(total), total, [7, 1]).tolist()) == list(range(total))
+    rng = np.random.default_rng(6)
+    for plain, rare, trees in ((90_000, 40, 359), (3_000, 4_000, 800), (300, 7, 200), (40, 0, 200)):
+        x, odd = rng.random((plain + rare, 2)), np.arange(plain + rare) >= plain
+        plan = quality.Forest(x, odd, trees=range(0))
+        found = [plan.dealt(t) for t in range(plan.needed)]
+        times = np.bincount(np.concatenate(found), minlength=len(x))
+        assert plan.needed == trees and times.min() >= 1
+        assert np.ptp(times[~odd]) <= 1 and (not rare or np.ptp(times[odd]) <= 1) and all(odd[f].mean() <= 0.05 for f in found)
+    few = np.array([[0.0, 1.0], [2.0, 0.0], [5.0, 5.0]])
+    whole = quality.Forest(np.repeat(few, [500, 300, 20], axis=0), trees=40, size=64)
+    counted = quality.Forest(few, times=[500, 300, 20], trees=40, size=64)
+    parts = sum(quality.Forest(few, times=[500, 300, 20], trees=range(t, t + 8), size=64).lengths(few) for t in range(0, 40, 8))
+    assert whole.score(few).tolist() == counted.score(few).tolist() == counted.anomaly(parts, 40).tolist()
+
+
+def test_threshold_tries_every_score_and_counts():
+    rng = np.random.default_rng(8)
+    scores, good = rng.permutation(5_000) / 5_000, rng.random(5_000) < 0.5
+    got = quality.calibrate(scores, good, keep=0.1)
+    floor = np.quantile(scores[good], 0.1, method="higher")
+    gain = {t: np.mean(scores[~good] > t) + np.mean(scores[good] <= t) for t in scores[scores >= floor]}
+    assert gain[got] == max(gain.values())
+    times = rng.integers(1, 9, 5_000)
+    assert quality.calibrate(scores, good, times=times) == quality.calibrate(np.repeat(scores, times), np.repeat(good, times))
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, edges, none):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
