@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -137,8 +138,9 @@ def _first_free(rows: DataFrame) -> DataFrame:
 def distinct_names(docs: DataFrame, most: int | None = None) -> DataFrame:
     """KB-03: filename made unique in order of ord: x.md, x-2.md, ..., the first that is free, at any size.
 
-    Names that could collide share a family, their stem without trailing -numbers. One task folds over the names of a family
-    of up to FAMILY rows, or of one with names that don't end in .md; larger ones get the same names by ranges. Only if `most`
+    Names that could collide share a family, their stem without trailing -numbers. Where no name of a family comes twice all
+    are kept. One task folds over the names of a family of up to FAMILY rows, or of one with names that don't end in .md, and
+    over many families one after the other; larger ones get the same names by ranges. Only if `most`
     is given, the second and later bearers of a name in a family of over `most` rows get numbers past all numbers in the
     family's names: unique as well, but not the first free ones.
     """
@@ -146,26 +148,34 @@ def distinct_names(docs: DataFrame, most: int | None = None) -> DataFrame:
     given = reliable(docs.select("ord", "filename")) if most is None else docs  # so that docs is read once for all steps
     named = given.select("ord", "filename", F.regexp_replace(stem, r"(-[0-9]+)+$", "").alias("_family"))
     last = F.regexp_extract(stem, r"-([0-9]{1,9})$", 1)
-    sizes = named.groupBy("_family").agg(F.count("*").alias("_size"), F.max(F.when(last != "", last.cast("long")).otherwise(F.lit(0).cast("long"))).alias("_top"), F.bool_and(F.col("filename").endswith(".md")).alias("_md"))
+    top = F.max(F.when(last != "", last.cast("long")).otherwise(F.lit(0).cast("long")))
+    times = named.groupBy("_family", "filename").agg(F.count("*").alias("_n"), top.alias("_top"))
+    sizes = times.groupBy("_family").agg(F.sum("_n").alias("_size"), F.max("_n").alias("_most"), F.max("_top").alias("_top"), F.bool_and(F.col("filename").endswith(".md")).alias("_md"))
     sized = named.join(sizes, "_family")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come family by family, each in order of ord; only the names of the family at hand are kept."""
+        family: str | None = None
         used: set[str] = set()
         free: dict[str, int] = {}
-        out = []
-        for name in pdf["filename"]:
-            new, n = name, free.get(name, 2)
-            while new in used:
-                new = f"{name.removesuffix('.md')}-{n}.md"
-                n += 1
-            free[name] = n
-            used.add(new)
-            out.append(new)
-        return pd.DataFrame({"ord": pdf["ord"], "filename": out})
+        for pdf in batches:
+            out = []
+            for name, its in zip(pdf["filename"], pdf["_family"]):
+                if its != family:
+                    family, used, free = its, set(), {}
+                new, n = name, free.get(name, 2)
+                while new in used:
+                    new = f"{name.removesuffix('.md')}-{n}.md"
+                    n += 1
+                free[name] = n
+                used.add(new)
+                out.append(new)
+            yield pd.DataFrame({"ord": pdf["ord"], "filename": out})
 
     folds = (F.col("_size") <= FAMILY) | ~F.col("_md") if most is None else F.col("_size") <= most
-    small = sized.filter(folds).select("ord", "filename", "_family").groupBy("_family").applyInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
+    in_turn = sized.filter(folds & (F.col("_most") > 1)).select("ord", "filename", "_family").repartition("_family").sortWithinPartitions("_family", "ord")
+    folded = in_turn.mapInPandas(fold, f"ord {dict(docs.dtypes)['ord']}, filename string")
+    small = sized.filter(folds & (F.col("_most") == 1)).select("ord", "filename").unionByName(folded)
     if most is None:
         rest = sized.filter(~folds).select("ord", "filename", "_family")
         return docs.drop("filename").join(small if rest.isEmpty() else small.unionByName(_first_free(rest)), "ord")

@@ -1,0 +1,35 @@
+"""What grows with a table: names of many families, slices of batches, counts of parts, sheets of any length."""
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from inkmill.functions import markdown, tokens
+from inkmill.operators import sheets, stages
+from inkmill.plans import kb
+
+
+def test_names_of_many_families_need_no_python_group(spark):
+    name = F.when(F.col("id") % 10 == 0, F.concat(F.lit("b"), (F.col("id") % 1000).cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".md")))
+    named = kb.distinct_names(spark.range(20_000).select(F.col("id").alias("ord"), name.alias("filename")))
+    assert "FlatMapGroupsInPandas" not in named._jdf.queryExecution().executedPlan().toString()
+    got = {r.ord: r.filename for r in named.collect()}
+    assert len(got) == 20_000 and len(set(got.values())) == 20_000
+    assert got[1] == "a1.md" and [got[i] for i in (10, 1010, 2010)] == ["b10.md", "b10-2.md", "b10-3.md"]
+
+
+def test_a_fold_of_names_goes_on_over_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        named = kb.distinct_names(spark.createDataFrame([(i, n) for i, n in enumerate(["x.md", "x.md", "x-2.md", "y.md"] * 5)], "ord long, filename string"))
+        got = [r.filename for r in named.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    used: list[str] = []
+    for name in ["x.md", "x.md", "x-2.md", "y.md"] * 5:
+        new, n = name, 2
+        while new in used:
+            new, n = f"{name.removesuffix('.md')}-{n}.md", n + 1
+        used.append(new)
+    assert got == used
