@@ -61,9 +61,9 @@ def utf16_cut(text: str, units: int) -> str:
     return out
 
 
-def fixed(value: float, places: int) -> float:
-    """Rounded by the exact binary value, ties away from zero."""
-    return float(Decimal(value).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP))
+def fixed(value: float, places: int, ties: str = ROUND_HALF_UP) -> float:
+    """Rounded by the exact binary value, ties away from zero, or as `ties` says."""
+    return float(Decimal(value).quantize(Decimal(1).scaleb(-places), rounding=ties))
 
 
 def ascii_word(pattern: str, flags: int = 0) -> re.Pattern[str]:

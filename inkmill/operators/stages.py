@@ -5,7 +5,8 @@ Each wraps a pure function of strings, evaluated batch by batch; stages that a q
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -156,8 +157,8 @@ def without_code(text: Column) -> Column:
     return stage(markdown.without_code, "string")(text)
 
 
-def savings(original: Column, optimized: Column) -> Column:
-    return stage(tokens.savings, schemas.SAVINGS, True)(original, optimized)
+def savings(original: Column, optimized: Column, ties: str = ROUND_HALF_UP) -> Column:
+    return stage(lambda a, b: tokens.savings(a, b, ties=ties), schemas.SAVINGS, True)(original, optimized)
 
 
 def costs(counted: Column) -> Column:
