@@ -32,18 +32,36 @@ def _shaped(value, kind: DataType):
     return value
 
 
+#: A stage makes Python values of so many rows at a time, or of as many as hold about so many bytes.
+ROWS, BYTES = 256, 1 << 20
+
+
+def slices(batch: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch in parts of at most ROWS rows and, by its average row, BYTES bytes; at least one row each."""
+    n = len(batch[0])
+    step = min(ROWS, max(1, n * BYTES // max(1, sum(c.nbytes for c in batch))))
+    for at in range(0, n, step):
+        yield tuple(c.slice(at, step) for c in batch)
+
+
 def stage(function: Callable, ddl: str, counts: bool = False) -> Callable[..., Column]:
-    """A column function from one of Python values; it needs a session. If it counts tokens, a worker without the driver's encodings fails."""
+    """A column function from one of Python values; it needs a session. If it counts tokens, a worker without the driver's encodings fails.
+
+    Spark's batches hold up to 10,000 rows, whatever their texts: a stage takes them in slices and sends each slice's results
+    at once, so that a worker holds one batch of its inputs and one slice of Python values and results.
+    """
     kind = DataType.fromDDL(ddl)
     arrow = to_arrow_type(kind)
     nested = isinstance(kind, (StructType, ArrayType, MapType))
     named = tokens.encoders() if counts else None
 
-    def run(*columns: pa.Array) -> pa.Array:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         if named:
             tokens.require(named)
-        rows = (function(*row) for row in zip(*(c.to_pylist() for c in columns)))
-        return pa.array([_shaped(r, kind) for r in rows] if nested else list(rows), type=arrow)
+        for batch in batches:
+            for part in slices((batch,) if isinstance(batch, pa.Array) else batch):
+                rows = (function(*row) for row in zip(*(c.to_pylist() for c in part)))
+                yield pa.array([_shaped(r, kind) for r in rows] if nested else list(rows), type=arrow)
 
     return F.arrow_udf(run, kind)
 

@@ -14,17 +14,24 @@ from ..functions import files
 SPLITS = 16
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Rows of a task that runs Python over texts: its time and its batches don't grow with the table.
+TASK_ROWS = 2_000
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A table whose file layout leaves cores idle, dealt evenly to them; any other as it is.
 
     A Parquet file is read by as many tasks as it has row groups, however many splits it is cut into, so the splits that hold
-    rows are counted (from the footers, no column is read). The rule looks at the layout and at no size.
+    rows are counted (from the footers, no column is read). The rule looks at the layout and at no size, unless `rows` says
+    how many a task should have: then a table is dealt as well where a split holds over four times as many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= SPLITS * cores:
+    if rows is None and df.rdd.getNumPartitions() >= SPLITS * cores:
+        return df
+    splits = df.groupBy(F.spark_partition_id().alias("_p")).count().agg(F.count("*").alias("busy"), F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
+    if splits["busy"] >= cores and (rows is None or splits["largest"] <= 4 * rows):
         return df
-    busy = df.select(F.spark_partition_id().alias("_p")).distinct().count()
-    return df.repartition(cores) if busy < cores else df
+    return df.repartition(max(cores, -(-(splits["rows"] or 0) // rows) if rows else 0))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,12 +1,15 @@
 """What grows with a table: names of many families, slices of batches, counts of parts, sheets of any length."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkmill.functions import markdown, tokens
-from inkmill.operators import sheets, stages
-from inkmill.plans import kb
+from inkmill.operators import stages
+from inkmill.plans import kb, queries_exact, queries_text
+from inkmill.sources import readers
 
 
 def test_names_of_many_families_need_no_python_group(spark):
@@ -33,3 +36,55 @@ def test_a_fold_of_names_goes_on_over_batches(spark):
             new, n = f"{name.removesuffix('.md')}-{n}.md", n + 1
         used.append(new)
     assert got == used
+
+
+def test_a_stage_takes_a_batch_in_slices(spark):
+    many = pa.array(["x" * 1_000] * 10_000)
+    parts = [p[0] for p in stages.slices((many,))]
+    assert sum(map(len, parts)) == 10_000 and max(map(len, parts)) <= stages.ROWS
+    assert max(len(p[0]) for p in stages.slices((pa.array(["x" * 100_000] * 100),))) == 10
+    assert list(stages.slices((pa.array([], pa.string()),))) == []
+    text = F.when(F.col("id") % 7 > 0, F.concat(F.lit("# a\n\n"), F.repeat(F.lit("the "), (F.col("id") % 50).cast("int"))))
+    rows = spark.range(0, 1_500, 1, 1).select("id", text.alias("t"), stages.count_tokens(text).alias("n"), stages.optimize(text, F.lit("d.md")).alias("o")).collect()
+    assert len(rows) == 1_500 and all(r.n == tokens.count_tokens(r.t) and r.o.body == markdown.optimize(r.t)["body"] for r in rows)
+
+
+def test_a_task_has_so_many_rows_however_large_the_table(spark):
+    assert readers.spread(spark.range(0, 100_000, 1, 1), 2_000).rdd.getNumPartitions() == 50
+    assert readers.spread(spark.range(0, 100_000, 1, 8), 2_000).rdd.getNumPartitions() == 50
+    assert readers.spread(spark.range(0, 60_000, 1, 8), 2_000).rdd.getNumPartitions() == 8
+    assert readers.spread(spark.range(0, 100_000, 1, 1)).rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("name", [tokens.PRIMARY, tokens.LEGACY])
+def test_tokens_of_parts_add_up(name):
+    signs = ["\n", "\n\n", "\n\n\n", " ", "  ", "\r\n", "\t", "a", "mot", "é", "12", "'s", "-" * 40, "x" * 300, "\x1c", "\x85", " ", " ", "中", "\U0001f600", "|", "."]
+    pick = random.Random(3)
+    for _ in range(3_000):
+        text = "".join(pick.choice(signs) for _ in range(pick.randint(0, 30)))
+        assert tokens.count_tokens(text, name) == len(tokens.encode(text, name)), repr(text)
+
+
+def test_parts_are_counted_once(monkeypatch):
+    """A text and its sections share their lines: with each counted anew the encoder sees them all twice."""
+    seen: list[str] = []
+    own = tokens._has_run
+    monkeypatch.setattr(tokens, "_has_run", lambda t: seen.append(t) or own(t))
+    lines = [f"unseen line {i} of this test" for i in range(100)]
+    assert tokens.count_tokens("\n".join(lines)) == tokens.count_tokens("\n".join(lines[50:])) + tokens.count_tokens("\n".join(lines[:50])) + 1
+    assert len(seen) == len(set(seen)) == 100
+
+
+def test_savings_known_has_ties_as_its_sql(spark, tmp_path):
+    spark.createDataFrame([(214, "x", 799), (230, "x", 799)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.savings_percentage for r in queries_exact.savings_known(spark, str(tmp_path)).collect()}
+    assert got == {214: 73.2, 230: 71.2}
+    assert tokens.savings(" the" * 800, " the" * 214)["savings_percentage"] == 73.3
+
+
+def test_sheet_records_leaves_no_supplier_out(spark, tmp_path):
+    n = 2_500
+    spark.range(n, 0, -1, 3).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("s_name"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.row_no: r.line for r in queries_text.sheet_records(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, n + 1))
+    assert got[1_600] == "- [Ligne 1600] **Name**: S1600 | **Col_2**: 0" and got[2_400] == "- [Ligne 2400] **Name**: S2400"
