@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import files, markdown, pii, plain
-from .text import EOL, WS
+from .text import BLANKS, EOL, WS
 
 S = f"[{WS}]"
 _BOL, _EOL = f"(?:\\A|(?<=[{EOL}]))", f"(?=[{EOL}]|\\z)"
@@ -36,7 +36,7 @@ def java(pattern: str, flags: str = "") -> str:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"\\A{S}+|{S}+\\z", "")
+    return F.btrim(text, F.lit(BLANKS))  # looks at the ends alone, where an expression would try every blank of the text
 
 
 def words(text: Column) -> Column:

@@ -80,6 +80,17 @@ def optimize(text: Column, filename: Column, options: Options = Options()) -> Co
     return stage(lambda t, f: markdown.optimize(t, o.level, o.strip_images, o.compact_tables, o.inject_frontmatter, f or "", tokens.load_pricing()), schemas.OPTIMIZED, True)(text, filename)
 
 
+def optimize_counted(text: Column, filename: Column, options: Options = Options()) -> Column:
+    """The same with the tokens of the Markdown, whose lines are counted already."""
+    o = options
+
+    def run(t, f):
+        done = markdown.optimize(t, o.level, o.strip_images, o.compact_tables, o.inject_frontmatter, f or "", tokens.load_pricing())
+        return done | {"tokens": tokens.count_tokens(done["markdown"])}
+
+    return stage(run, schemas.COUNTED, True)(text, filename)
+
+
 def optimize_each(text: Column, filename: Column, levels: dict[str, Options]) -> Column:
     """The same at several levels in one pass, so that what they share is counted once: a struct with a field a level."""
 

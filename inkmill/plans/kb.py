@@ -73,8 +73,9 @@ def process(docs: DataFrame, options: Options = Options()) -> DataFrame:
     else:
         none = "cast(null as array<struct<type: string, original: string, placeholder: string>>)"
         clean = named.selectExpr("*", "raw as _text", f"{none} as entities", "cast(null as map<string, bigint>) as entity_counts", "cast(null as map<string, string>) as originals")
-    done = clean.withColumn("_o", stages.optimize(F.col("_text"), F.col("filename"), options)).select("*", "_o.*").drop("_o", "_text")
-    done = done.withColumn("stats", stages.analyze(F.col("markdown")))
+    done = clean.withColumn("_o", stages.optimize_counted(F.col("_text"), F.col("filename"), options)).select("*", "_o.*").drop("_o", "_text")
+    rest = [F.col(f"_s.{f}").alias(f) for f in ("encoding", "legacy_tokens", "words", "chars", "tokens_per_word", "estimated_costs")]
+    done = done.withColumn("_s", stages.analyze(F.col("markdown"))).withColumn("stats", F.struct("tokens", *rest)).drop("_s", "tokens")
     if options.include_chunks:
         title = F.when(F.col("meta.title") != "", F.col("meta.title")).otherwise(native.stem(F.col("original_filename")))
         done = done.withColumn("chunks", stages.chunk(F.col("body"), F.col("doc_id"), title, options))

@@ -7,6 +7,7 @@ STATS = f"struct<{TOKENS}, headers: bigint, links: bigint, images: bigint, table
 ANALYSIS = f"struct<{TOKENS}>"
 META = "struct<title: string, description: string, headings: array<struct<level: int, text: string>>, keywords: array<string>, estimated_tokens: bigint>"
 OPTIMIZED = f"struct<markdown: string, body: string, savings: {SAVINGS}, meta: {META}>"
+COUNTED = f"{OPTIMIZED[:-1]}, tokens: bigint>"
 ENTITY = "struct<type: string, original: string, placeholder: string>"
 ANONYMIZED = f"struct<text: string, entities: array<{ENTITY}>, total: bigint, by_type: map<string, bigint>, originals: map<string, string>>"
 CHUNK = "struct<id: string, doc_id: string, doc_title: string, chunk_index: int, title: string, breadcrumbs: array<string>, content: string, embedding_text: string, token_count: bigint, char_count: bigint>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import markdown, pii, plain, tokens
 from inkmill.operators import stages
+from inkmill.options import Options
 from inkmill.plans import kb, queries_exact, queries_text
 from inkmill.sources import readers
 
@@ -124,3 +125,12 @@ def test_rules_agree_on_any_line_ends():
         text = "".join(pick.choice(signs) for _ in range(pick.randint(0, 25)))
         for r in rules:
             assert r.sub("", text) == r.any_end.sub("", text), (r.any_end.pattern, text)
+
+
+def test_index_files_need_one_stage(spark):
+    """Their tokens are counted where the text is optimised, so neither the legacy count nor another worker is needed."""
+    docs = spark.createDataFrame([(0, "a.md", "# A\n\nmot"), (1, "b.md", ""), (2, "c.md", "x\ny")], "ord long, filename string, markdown string")
+    done = kb.process(docs, Options(inject_frontmatter=True))
+    assert kb.full_blocks(done)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in done.select("markdown", "stats").collect():
+        assert r.stats.asDict() == tokens.analyze(r.markdown)
